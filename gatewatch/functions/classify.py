@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of
+from .text import col_of, let
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -28,19 +28,22 @@ DEFAULT_RULES: Rules = (
 
 def category_of(text, rules: Rules = DEFAULT_RULES) -> Column:
     """Category of the first matching rule, or null."""
+    rules = [(c, kws) for c, kws in rules if kws]
     if not rules:
         return F.lit(None).cast("string")
-    upper = F.upper(col_of(text))
-    expr = None
-    for category, keywords in rules:
-        if not keywords:
-            continue
-        hit = None
-        for kw in keywords:
-            cond = upper.contains(kw.upper())
-            hit = cond if hit is None else (hit | cond)
-        expr = F.when(hit, F.lit(category)) if expr is None else expr.when(hit, F.lit(category))
-    return expr if expr is not None else F.lit(None).cast("string")
+
+    def first_match(upper: Column) -> Column:
+        expr = None
+        for category, keywords in rules:
+            hit = None
+            for kw in keywords:
+                cond = upper.contains(kw.upper())
+                hit = cond if hit is None else (hit | cond)
+            expr = F.when(hit, F.lit(category)) if expr is None else expr.when(hit, F.lit(category))
+        return expr
+
+    # the whole note is upper-cased once, not once per keyword
+    return let(F.upper(col_of(text)), first_match)
 
 
 def rules_sql_case(text_sql: str, rules: Rules = DEFAULT_RULES) -> str:

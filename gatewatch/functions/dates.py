@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of, unicode_trim
+from .text import col_of, let, unicode_trim
 
 # Spreadsheet serial dates count days from this origin.
 EXCEL_ORIGIN = "1899-12-30 00:00:00"
@@ -17,21 +17,17 @@ _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?
 _SERIAL = r"^[0-9]+([.][0-9]+)?$"
 
 
-def parse_date_br(c) -> Column:
-    """Day-first 'd/M/yyyy' text to date; anything else -> null."""
-    text = unicode_trim(col_of(c).cast("string"))
+def _day_first(text: Column) -> Column:
     return F.when(text.rlike(_DAY_FIRST), F.try_to_date(text, "d/M/yyyy"))
 
 
-def parse_date_robust(c) -> Column:
-    """Audit dates as typed by people and spreadsheets.
+def parse_date_br(c) -> Column:
+    """Day-first 'd/M/yyyy' text to date; anything else -> null."""
+    return let(unicode_trim(col_of(c).cast("string")), _day_first)
 
-    Trim, fix the impossible '31/09' to '30/09', then per row the first that
-    parses of: day-first 'd/M/yyyy', ISO 'yyyy-MM-dd[ time]', or a spreadsheet
-    serial (days since 1899-12-30, fraction = time of day).
-    """
-    text = F.replace(unicode_trim(col_of(c).cast("string")), F.lit("31/09"), F.lit("30/09"))
-    day_first = F.when(text.rlike(_DAY_FIRST), F.try_to_date(text, "d/M/yyyy"))
+
+def _robust(text: Column) -> Column:
+    day_first = _day_first(text)
     iso = F.when(text.rlike(_ISO), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
     serial_num = F.when(text.rlike(_SERIAL), text.try_cast("double"))
     serial = F.when(
@@ -43,6 +39,17 @@ def parse_date_robust(c) -> Column:
     return F.coalesce(day_first, iso, serial)
 
 
+def parse_date_robust(c) -> Column:
+    """Audit dates as typed by people and spreadsheets.
+
+    Trim, fix the impossible '31/09' to '30/09', then per row the first that
+    parses of: day-first 'd/M/yyyy', ISO 'yyyy-MM-dd[ time]', or a spreadsheet
+    serial (days since 1899-12-30, fraction = time of day).
+    """
+    text = F.replace(unicode_trim(col_of(c).cast("string")), F.lit("31/09"), F.lit("30/09"))
+    return let(text, _robust)
+
+
 def as_date(c, data_type=None) -> Column:
     """Typed date columns pass through; text goes through the robust parser."""
     from pyspark.sql import types as T

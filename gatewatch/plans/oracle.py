@@ -8,7 +8,7 @@ from __future__ import annotations
 
 # ---------------------------------------------------------------- expression templates
 
-_BLANKS = r"'^[\s\p{Z}]+|[\s\p{Z}]+$'"
+_WS = "(" + " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace()) + ")"
 _DECIMAL = r"'^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
 _THOUSANDS = r"'^[+-]?[0-9]{1,3}([.][0-9]{3})+$'"
 _DAY_FIRST = r"'^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$'"
@@ -17,7 +17,7 @@ _SERIAL = r"'^[0-9]+([.][0-9]+)?$'"
 
 
 def trim(x: str) -> str:
-    return f"regexp_replace(CAST({x} AS VARCHAR), {_BLANKS}, '', 'g')"
+    return f"trim(CAST({x} AS VARCHAR), {_WS})"
 
 
 def number_or_zero(x: str) -> str:
@@ -152,7 +152,7 @@ FLIGHTS_RAW = """flights_raw AS (
 
 # blank -> null, forward fill per file in row order, parse, drop undated
 FLIGHTS_FILLED = f"""flights_filled AS (
-  SELECT *, last_value(CASE WHEN regexp_matches("Data", '^\\s*$') THEN NULL ELSE "Data" END IGNORE NULLS)
+  SELECT *, last_value(CASE WHEN {trim('"Data"')} = '' THEN NULL ELSE "Data" END IGNORE NULLS)
               OVER (PARTITION BY file_id ORDER BY row_no
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled_date
   FROM flights_raw)"""
