@@ -282,7 +282,7 @@ FROM (SELECT *, CASE WHEN operation = '1-URGENT' THEN released + 1 ELSE released
 # ---------------------------------------------------------------- raw audit (cleaning)
 
 def _q_clean_audit(spark, sf):
-    return C.clean_audit(AD.audit_raw(spark, sf))
+    return TB.replace_import(C.clean_audit(AD.audit_raw(spark, sf)))
 
 
 def _q_rejects(spark, sf):
@@ -507,7 +507,7 @@ def _build() -> list[Query]:
     notes = lambda s: with_views(s, "notes")
     rate = Q.rate("released", "retained")
     qs = [
-        Query("audit_monthly_rate", ("A10", "P12", "P16", "P17"), _q_monthly,
+        Query("audit_monthly_rate", ("A10", "P12", "P16", "P17", "S3"), _q_monthly,
               with_views(_rate_by_sql("strftime(audit_date, '%Y-%m')", "year_month"), "audit")),
         Query("audit_filter", ("F1",), _q_filter,
               audit(f"SELECT * FROM audit WHERE {F1_SQL}")),
@@ -558,7 +558,7 @@ SELECT audit_date, carrier, operation, released, retained, released + retained A
        COALESCE(carrier IS NOT NULL AND trim(carrier) <> '' AND released >= 0 AND retained >= 0
                 AND audit_date IS NOT NULL, FALSE) AS is_valid FROM audit""")),
         # raw audit uploads
-        Query("audit_clean", ("P1", "P2", "P4", "P10"), _q_clean_audit, with_views(
+        Query("audit_clean", ("P1", "P2", "P4", "P10", "U2"), _q_clean_audit, with_views(
             "SELECT * FROM audit_typed WHERE audit_date IS NOT NULL", "audit_typed")),
         Query("audit_rejects", ("P6",), _q_rejects, with_views("""
 SELECT CAST(count(*) FILTER (WHERE audit_date IS NULL) AS BIGINT) AS rejected_rows,
