@@ -15,19 +15,33 @@ import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cleaning import clean_flights, type_audit
 from ..schemas import AUDIT_RAW, FLIGHT_RAW
 
 
-def _only_new(batch: DataFrame, table: DataFrame | None) -> DataFrame:
+def _same_row(left: DataFrame, right: DataFrame):
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in left.columns])
+
+
+def _only_new(batch: DataFrame, table: DataFrame | None, date_col: str) -> DataFrame:
+    """Rows of the micro-batch that the table does not hold yet.
+
+    Only the table's rows inside the batch's date range are considered (a
+    range predicate that reaches the Parquet scan), and they are matched
+    against the broadcast batch (bounded by the trigger size), so the stored
+    table is never shuffled. The final anti join is between two small sides.
+    """
     batch = batch.dropDuplicates()
     if table is None:
         return batch
-    cond = reduce(lambda a, b: a & b,
-                  [batch[c].eqNullSafe(table[c]) for c in batch.columns])
-    return batch.join(table, cond, "left_anti")
+    lo = batch.select(F.min(date_col)).scalar()
+    hi = batch.select(F.max(date_col)).scalar()
+    in_range = table.where(F.col(date_col).between(lo, hi))
+    existing = in_range.join(F.broadcast(batch), _same_row(in_range, batch), "left_semi")
+    return batch.join(existing, _same_row(batch, existing), "left_anti")
 
 
 def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -37,11 +51,20 @@ def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def merge_batch(batch: DataFrame, target_path: str) -> None:
-    """Append the rows of ``batch`` that ``target_path`` does not hold yet."""
+def merge_batch(batch: DataFrame, target_path: str, date_col: str = "audit_date") -> None:
+    """Append the rows of ``batch`` that ``target_path`` does not hold yet.
+
+    Idempotent: a micro-batch replayed after a failure finds its rows
+    already stored and appends nothing. The (bounded) batch is persisted
+    because it is read by the range bounds, the broadcast and the anti join.
+    """
     spark = batch.sparkSession
-    new_rows = _only_new(batch, _table_or_none(spark, target_path))
-    new_rows.write.mode("append").parquet(target_path)
+    batch = batch.persist()
+    try:
+        new_rows = _only_new(batch, _table_or_none(spark, target_path), date_col)
+        new_rows.write.mode("append").parquet(target_path)
+    finally:
+        batch.unpersist()
 
 
 def import_stream(spark: SparkSession, landing_dir: str, target_path: str,
@@ -56,14 +79,14 @@ def import_stream(spark: SparkSession, landing_dir: str, target_path: str,
            .csv(landing_dir))
     if kind == "audit":
         typed = type_audit(raw)
-        cleaned = typed.where(typed.audit_date.isNotNull())
+        cleaned, date_col = typed.where(typed.audit_date.isNotNull()), "audit_date"
     else:
-        cleaned = clean_flights(raw)
+        cleaned, date_col = clean_flights(raw), "flight_date"
     if checkpoint_location is None:
         base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(target_path, "_stream")
         checkpoint_location = os.path.join(base.rstrip("/"), f"import-{kind}")
     writer = (cleaned.writeStream
-              .foreachBatch(lambda df, _epoch: merge_batch(df, target_path))
+              .foreachBatch(lambda df, _epoch: merge_batch(df, target_path, date_col))
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
