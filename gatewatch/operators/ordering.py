@@ -10,15 +10,24 @@ from .cleaning import with_retention
 from .metrics import with_category
 
 
+# Last sort key for ordered outputs: identical copies may hold a large share
+# of the rows and a range partitioner cannot split equal keys; a random
+# tie-break among identical rows lets it spread them and changes nothing
+# in the result (the rows are indistinguishable).
+def _copies_tiebreak():
+    return F.rand(17)
+
+
 def detail(df: DataFrame) -> DataFrame:
     """O1: detail table (with row total and retention) by date, carrier.
 
-    Remaining columns break ties so the order is total and the range
-    partitioner can split a hot (date, carrier) pair across tasks.
+    Remaining columns break ties so the range partitioner can split a hot
+    (date, carrier) pair across tasks.
     """
     out = with_retention(df)
     return out.orderBy("audit_date", F.col("carrier").asc_nulls_first(),
-                       F.col("operation").asc_nulls_first(), "released", "retained")
+                       F.col("operation").asc_nulls_first(), "released", "retained",
+                       _copies_tiebreak())
 
 
 def sort_for_save(df: DataFrame, date_col: str = "audit_date") -> DataFrame:
@@ -28,7 +37,7 @@ def sort_for_save(df: DataFrame, date_col: str = "audit_date") -> DataFrame:
     the range partitioner can split a hot date across output files.
     """
     others = [F.col(c).asc_nulls_first() for c in df.columns if c != date_col]
-    return df.orderBy(F.col(date_col).asc_nulls_first(), *others)
+    return df.orderBy(F.col(date_col).asc_nulls_first(), *others, _copies_tiebreak())
 
 
 def occurrence_detail(df: DataFrame, rules: Rules = DEFAULT_RULES,
@@ -37,7 +46,7 @@ def occurrence_detail(df: DataFrame, rules: Rules = DEFAULT_RULES,
     cat = with_category(df.where(F.col(text_col).isNotNull()), rules, text_col)
     return (cat.where(F.col("category").isNotNull())
                .select(date_col, "operator", "category", text_col)
-               .orderBy(date_col, "operator", "category", text_col))
+               .orderBy(date_col, "operator", "category", text_col, _copies_tiebreak()))
 
 
 def preview(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:

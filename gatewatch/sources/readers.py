@@ -34,10 +34,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     large inputs, which already have many splits, this is a no-op, so no
     extra shuffle is added where it would cost the most.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no RDD view: leave as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str], parallel: bool = True) -> DataFrame:

@@ -47,6 +47,12 @@ def test_clean_audit_and_rejects_p6(spark):
     assert (dt.date(2025, 2, 1), "ALFA", 1.0, 1.0) in got
 
 
+def test_valid_plus_rejected_equals_input(spark):
+    typed = C.type_audit(audit_raw(spark))
+    valid, summary = C.split_invalid(typed)
+    assert valid.count() + summary.first().rejected_rows == len(AUDIT_ROWS)
+
+
 def test_typed_dates_pass_through(spark):
     df = spark.createDataFrame([(dt.date(2025, 1, 2), "A", "LML", 1.0, 2.0)],
                                "DATA date, TRANSPORTADORA string, `OPERAÇÃO` string, LIBERADOS double, MALHA double")
