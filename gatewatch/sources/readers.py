@@ -87,6 +87,19 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], with_source:
     return read_csv(spark, path, sep=sep, with_source=with_source)
 
 
+def read_upload(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """An import folder of spreadsheet exports, all text, with ``source_file``
+    and ``row_no`` (row order within its file) for file-order operations such
+    as filling merged cells.
+
+    A multi-line CSV file is read by one task, in file order, so the
+    partition-local ids increase with the row order inside each file.
+    """
+    from pyspark.sql import functions as F
+    df = read_delimited(spark, path, with_source=True)
+    return df.withColumn("row_no", F.monotonically_increasing_id())
+
+
 def read_table(spark: SparkSession, name: str, fallback_first: bool = True) -> DataFrame:
     """S3: a stored table by name (case-insensitive in the catalog); a path
     is read as Parquet. With ``fallback_first`` an unknown name falls back

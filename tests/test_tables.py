@@ -101,3 +101,21 @@ def test_read_first_falls_back_to_typed_empty_s4(spark, tmp_path):
 def test_sort_for_save_o2(spark):
     got = [r.audit_date for r in sort_for_save(table(spark).orderBy("carrier", ascending=False)).collect()]
     assert got == sorted(got)
+
+
+def test_upload_folder_forward_fill_per_file_p9_s2(spark, tmp_path):
+    from gatewatch.operators.cleaning import import_flights
+    from gatewatch.sources import read_upload
+    folder = tmp_path / "upload"
+    folder.mkdir()
+    head = "Data;Operador;Tipo;Rotas;Voos;Obs\n"
+    (folder / "a.csv").write_text(head + "01/03/2025;OP-1;FIXO;2;1;\n;OP-2;FIXO;3;1;\"linha 1\nlinha 2\"\n"
+                                  "  ;OP-3;FIXO;1;1;\n", encoding="utf-8")
+    (folder / "b.csv").write_text(head + ";OP-9;FIXO;1;1;\n05/03/2025;OP-4;RESERVA;1,5;1;\n;OP-5;FIXO;1;0;\n",
+                                  encoding="utf-8")
+    raw = read_upload(spark, str(folder))
+    got = sorted((r.operator, r.flight_date.isoformat()) for r in
+                 import_flights(raw, order_by="row_no", file_col="source_file").collect())
+    # b.csv starts with a gap: nothing before it in that file, so OP-9 is dropped
+    assert got == [("OP-1", "2025-03-01"), ("OP-2", "2025-03-01"), ("OP-3", "2025-03-01"),
+                   ("OP-4", "2025-03-05"), ("OP-5", "2025-03-05")]
