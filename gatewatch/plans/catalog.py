@@ -9,7 +9,7 @@ dashboard's widget values would be. Aggregating queries use the default
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +30,12 @@ Builder = Callable[[SparkSession, str], DataFrame]
 
 @dataclass(frozen=True)
 class Query:
+    """A registered query: its name, the inventory IDs it exercises, the
+    Spark builder and the DuckDB oracle SQL."""
     name: str
     covers: tuple[str, ...]
     build: Builder
     sql: str | None = None
-    notes: str = ""
-    tags: tuple[str, ...] = field(default_factory=tuple)
 
 
 # ---------------------------------------------------------------- fixed parameters

@@ -16,3 +16,16 @@ def test_import_stream_dedupes_against_table(spark, tmp_path):
     q = import_stream(spark, str(landing), target, str(tmp_path / "ckpt"), kind="audit")
     q.awaitTermination(120)
     assert spark.read.parquet(target).count() == 2
+
+
+def test_import_stream_flights(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "v.csv").write_text(
+        "Data,Operador,Tipo,Rotas,Voos,Obs\n01/03/2025,OP-1 ,FIXO,20.0,8.0,\"linha 1\nlinha 2\"\n"
+        "01/03/2025,OP-1 ,FIXO,20.0,8.0,\"linha 1\nlinha 2\"\n02/03/2025,,RESERVA,,1,\n", encoding="utf-8")
+    target = str(tmp_path / "voos")
+    q = import_stream(spark, str(landing), target, str(tmp_path / "ckpt"), kind="flights")
+    q.awaitTermination(120)
+    got = sorted((r.operator, r.routes, r.notes) for r in spark.read.parquet(target).collect())
+    assert got == [("Não Informado", 0.0, None), ("OP-1", 20.0, "linha 1\nlinha 2")]
