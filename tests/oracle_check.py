@@ -58,7 +58,12 @@ def main(argv):
     import __spark_entry__ as E
     from gatewatch.session import build_session
 
-    spark = build_session()
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .getOrCreate())
+    else:
+        spark = build_session()
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
