@@ -119,3 +119,12 @@ def test_upload_folder_forward_fill_per_file_p9_s2(spark, tmp_path):
     # b.csv starts with a gap: nothing before it in that file, so OP-9 is dropped
     assert got == [("OP-1", "2025-03-01"), ("OP-2", "2025-03-01"), ("OP-3", "2025-03-01"),
                    ("OP-4", "2025-03-05"), ("OP-5", "2025-03-05")]
+
+
+def test_read_table_case_insensitive_s3(spark, tmp_path):
+    from gatewatch.sources import read_table
+    table(spark).createOrReplaceTempView("Performance_Logistica")
+    assert read_table(spark, "performance_logistica").count() == 3
+    path = str(tmp_path / "as_path")
+    table(spark).write.parquet(path)
+    assert read_table(spark, path).count() == 3
