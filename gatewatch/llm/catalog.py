@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .quality import op7_line_quality
+from .simhash import op4_simhash
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op7_line_quality": op7_line_quality,
 }
 
