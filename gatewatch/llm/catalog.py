@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op1_packing
 from .quality import op7_line_quality
 from .simhash import op4_simhash
+from .tokens import op3_token_counts
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op7_line_quality": op7_line_quality,
 }
