@@ -5,12 +5,14 @@ from __future__ import annotations
 from .packing import op1_packing
 from .quality import op7_line_quality
 from .simhash import op4_simhash
+from .substrings import op10_substrings
 from .tokens import op3_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
+    "op10_substrings": op10_substrings,
     "op7_line_quality": op7_line_quality,
 }
 
