@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .packing import op1_packing
 from .quality import op7_line_quality
+from .secrets import op5_secrets
 from .simhash import op4_simhash
 from .substrings import op10_substrings
 from .tokens import op3_token_counts
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op10_substrings": op10_substrings,
+    "op5_secrets": op5_secrets,
     "op7_line_quality": op7_line_quality,
 }
 
