@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .neighbours import op2_neighbours
 from .packing import op1_packing
 from .quality import op7_line_quality
 from .secrets import op5_secrets
@@ -11,6 +12,7 @@ from .tokens import op3_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_neighbours": op2_neighbours,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op10_substrings": op10_substrings,
