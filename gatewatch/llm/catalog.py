@@ -9,12 +9,14 @@ from .secrets import op5_secrets
 from .simhash import op4_simhash
 from .substrings import op10_substrings
 from .tokens import op3_token_counts
+from .warc import op9_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_neighbours": op2_neighbours,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
+    "op9_warc": op9_warc,
     "op10_substrings": op10_substrings,
     "op5_secrets": op5_secrets,
     "op7_line_quality": op7_line_quality,
