@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import op8_mixture
 from .neighbours import op2_neighbours
 from .packing import op1_packing
 from .quality import op7_line_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_neighbours": op2_neighbours,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
+    "op8_mixture": op8_mixture,
     "op9_warc": op9_warc,
     "op10_substrings": op10_substrings,
     "op5_secrets": op5_secrets,
