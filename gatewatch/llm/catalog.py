@@ -10,6 +10,8 @@ from .secrets import op5_secrets
 from .simhash import op4_simhash
 from .substrings import op10_substrings
 from .tokens import op3_token_counts
+from .url_filter import ORACLE as OP6_SQL
+from .url_filter import op6_url_filter
 from .warc import op9_warc
 
 QUERIES = {
@@ -21,9 +23,12 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_substrings": op10_substrings,
     "op5_secrets": op5_secrets,
+    "op6_url_filter": op6_url_filter,
     "op7_line_quality": op7_line_quality,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
+}
