@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from .mixing import op8_mixture
 from .neighbours import op2_neighbours
+from .oracles import ORACLES
 from .packing import op1_packing
 from .quality import op7_line_quality
 from .secrets import op5_secrets
 from .simhash import op4_simhash
 from .substrings import op10_substrings
 from .tokens import op3_token_counts
-from .url_filter import ORACLE as OP6_SQL
 from .url_filter import op6_url_filter
 from .warc import op9_warc
 
@@ -19,16 +19,12 @@ QUERIES = {
     "op2_neighbours": op2_neighbours,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
-    "op8_mixture": op8_mixture,
-    "op9_warc": op9_warc,
-    "op10_substrings": op10_substrings,
     "op5_secrets": op5_secrets,
     "op6_url_filter": op6_url_filter,
     "op7_line_quality": op7_line_quality,
+    "op8_mixture": op8_mixture,
+    "op9_warc": op9_warc,
+    "op10_substrings": op10_substrings,
 }
 
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-ORACLES: dict[str, str] = {
-    "op6_url_filter": OP6_SQL,
-}
+__all__ = ["ORACLES", "QUERIES"]
