@@ -2,7 +2,8 @@
 
 A note gets the first category (in rule order) having a keyword that is a
 substring of the upper-cased note; no word boundaries. Evaluated as one
-chained CASE expression, so it stays inside whole-stage codegen.
+chained CASE expression of built-in functions; generated code shares the
+upper-cased note among the conditions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of, let
+from .text import col_of
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -32,18 +33,15 @@ def category_of(text, rules: Rules = DEFAULT_RULES) -> Column:
     if not rules:
         return F.lit(None).cast("string")
 
-    def first_match(upper: Column) -> Column:
-        expr = None
-        for category, keywords in rules:
-            hit = None
-            for kw in keywords:
-                cond = upper.contains(kw.upper())
-                hit = cond if hit is None else (hit | cond)
-            expr = F.when(hit, F.lit(category)) if expr is None else expr.when(hit, F.lit(category))
-        return expr
-
-    # the whole note is upper-cased once, not once per keyword
-    return let(F.upper(col_of(text)), first_match)
+    upper = F.upper(col_of(text))
+    expr = None
+    for category, keywords in rules:
+        hit = None
+        for kw in keywords:
+            cond = upper.contains(kw.upper())
+            hit = cond if hit is None else (hit | cond)
+        expr = F.when(hit, F.lit(category)) if expr is None else expr.when(hit, F.lit(category))
+    return expr
 
 
 def rules_sql_case(text_sql: str, rules: Rules = DEFAULT_RULES) -> str:

@@ -5,30 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of, let, unicode_trim
+from .text import col_of, unicode_trim
 
 # Spreadsheet serial dates count days from this origin.
 EXCEL_ORIGIN = "1899-12-30 00:00:00"
-# Largest serial that still lands before year 10000.
+# Largest serial that still lands before year 10000, the last year of a date.
 _MAX_SERIAL = 2958465
 
-_DAY_FIRST = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
+# Day first, set apart by slash, dash or point, with an optional time of day.
+_TIME = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?"
+DAY_FIRST = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})" + _TIME + "$"
+# Two-digit years from here on belong to the 1900s, the others to the 2000s.
+PIVOT = "69"
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"
 _SERIAL = r"^[0-9]+([.][0-9]+)?$"
 
 
 def _day_first(text: Column) -> Column:
-    return F.when(text.rlike(_DAY_FIRST), F.try_to_date(text, "d/M/yyyy"))
+    year = F.regexp_extract(text, DAY_FIRST, 3)
+    full = F.when(F.length(year) == 4, year).when(year >= PIVOT, F.concat(F.lit("19"), year)).otherwise(
+        F.concat(F.lit("20"), year))
+    day = F.concat_ws("-", full, F.regexp_extract(text, DAY_FIRST, 2), F.regexp_extract(text, DAY_FIRST, 1))
+    return F.when(text.rlike(DAY_FIRST), F.try_to_date(day, "yyyy-M-d"))
+
+
+def _iso(text: Column) -> Column:
+    return F.when(text.rlike(_ISO), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
 
 
 def parse_date_br(c) -> Column:
-    """Day-first 'd/M/yyyy' text to date; anything else -> null."""
-    return let(unicode_trim(col_of(c).cast("string")), _day_first)
+    """Day-first text ('d/M/yyyy', also with '-' or '.', two-digit years and a
+    time) or ISO text to date; anything else -> null."""
+    text = unicode_trim(col_of(c).cast("string"))
+    return F.coalesce(_day_first(text), _iso(text))
 
 
 def _robust(text: Column) -> Column:
-    day_first = _day_first(text)
-    iso = F.when(text.rlike(_ISO), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
     serial_num = F.when(text.rlike(_SERIAL), text.try_cast("double"))
     serial = F.when(
         serial_num <= F.lit(_MAX_SERIAL),
@@ -36,18 +48,18 @@ def _robust(text: Column) -> Column:
             "SECOND", F.round(serial_num * 86400).cast("long"),
             F.lit(EXCEL_ORIGIN).cast("timestamp_ntz"))),
     )
-    return F.coalesce(day_first, iso, serial)
+    return F.coalesce(_day_first(text), _iso(text), serial)
 
 
 def parse_date_robust(c) -> Column:
     """Audit dates as typed by people and spreadsheets.
 
     Trim, fix the impossible '31/09' to '30/09', then per row the first that
-    parses of: day-first 'd/M/yyyy', ISO 'yyyy-MM-dd[ time]', or a spreadsheet
+    parses of: day-first text as in ``parse_date_br``, ISO 'yyyy-MM-dd[ time]', or a spreadsheet
     serial (days since 1899-12-30, fraction = time of day).
     """
     text = F.replace(unicode_trim(col_of(c).cast("string")), F.lit("31/09"), F.lit("30/09"))
-    return let(text, _robust)
+    return _robust(text)
 
 
 def as_date(c, data_type=None) -> Column:

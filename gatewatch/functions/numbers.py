@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of, let, unicode_trim
+from .text import col_of, unicode_trim
 
 # A plain decimal literal. try_cast alone would accept 'NaN', 'Infinity' and
 # Java suffixes such as '5d'; the gate keeps only what is really a number.
@@ -20,7 +20,7 @@ def _gated_double(text: Column) -> Column:
 
 def to_number_or_zero(c) -> Column:
     """Coerce to double; anything that is not a number becomes 0."""
-    return F.coalesce(let(unicode_trim(col_of(c).cast("string")), _gated_double), F.lit(0.0))
+    return F.coalesce(_gated_double(unicode_trim(col_of(c).cast("string"))), F.lit(0.0))
 
 
 def parse_number_br(c) -> Column:
@@ -29,11 +29,9 @@ def parse_number_br(c) -> Column:
     Dots are read as thousands separators only when the value has a comma or
     is a pure thousands pattern, so a plain '10.5' stays 10.5.
     """
-    def parse(text: Column) -> Column:
-        br_style = text.contains(",") | text.rlike(_THOUSANDS)
-        normalised = F.when(
-            br_style, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-        ).otherwise(text)
-        return let(normalised, _gated_double)
-
-    return F.coalesce(let(unicode_trim(col_of(c).cast("string")), parse), F.lit(0.0))
+    text = unicode_trim(col_of(c).cast("string"))
+    br_style = text.contains(",") | text.rlike(_THOUSANDS)
+    normalised = F.when(
+        br_style, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    ).otherwise(text)
+    return F.coalesce(_gated_double(normalised), F.lit(0.0))

@@ -3,8 +3,9 @@ engines agree on.
 
 Rounding a double to 2 decimals differs between engines on ties, so whole
 counts use integer arithmetic: round_half_up(100 * m / t, 2) equals
-((20000 * m + t) div (2 * t)) / 100 exactly. Non-integral inputs fall back to
-Spark's HALF_UP ``round``.
+((20000 * m + t) div (2 * t)) / 100 exactly. It is done on decimals without a
+fraction, which hold every product of two longs of this kind. Non-integral
+inputs fall back to Spark's HALF_UP ``round``.
 """
 
 from __future__ import annotations
@@ -21,11 +22,6 @@ AXIS_FLOOR = 20.0
 AXIS_HEADROOM = 1.2
 
 
-def _long_div(n: Column, d: Column) -> Column:
-    """Exact floor division of non-negative longs."""
-    return ((n - F.pmod(n, d)) / d).cast("long")
-
-
 def _is_whole(c: Column) -> Column:
     return c == F.floor(c)
 
@@ -34,8 +30,9 @@ def round_ratio_half_up(num, den, scale: int, digits: int) -> Column:
     """round_half_up(scale * num / den, digits); 0.0 when den <= 0."""
     n, d = col_of(num), col_of(den)
     factor = 10 ** digits
-    ni, di = n.cast("long"), d.cast("long")
-    exact = _long_div(ni * (2 * scale * factor) + di, di * 2) / factor
+    ni, di = n.cast("decimal(20,0)"), d.cast("decimal(20,0)")
+    times = F.lit(2 * scale * factor).cast("decimal(8,0)")
+    exact = F.call_function("div", ni * times + di, di * F.lit(2).cast("decimal(1,0)")) / factor
     return (
         F.when(d.isNull() | (d <= 0), F.lit(0.0))
         .when(_is_whole(n) & _is_whole(d), exact)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import UNKNOWN_OPERATOR
@@ -17,17 +17,15 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and pass it to ``body``.
+def parsed_once(df: DataFrame) -> DataFrame:
+    """``df`` behind a step that no filter is pushed through.
 
-    A parser that tests one text against several patterns references it many
-    times; when a filter on the result is pushed below the projection, the
-    optimizer copies the whole text expression into every reference.
-    Binding it as the element of a one-item array keeps a single evaluation
-    (the lambda variable is a plain slot), which measured 2.5x faster on
-    the date parser.
+    A filter on a parsed value would otherwise be moved below the projection
+    that parses it, with a copy of the whole parser, and the text would be
+    parsed for the filter and again for the result. The rows pass as one-item
+    arrays of structs; only the columns that are used are built.
     """
-    return F.get(F.transform(F.array(value), body), 0)
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]))))
 
 
 def unicode_trim(c) -> Column:

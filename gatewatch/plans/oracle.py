@@ -6,12 +6,14 @@ queries; nothing here runs inside a Spark job.
 
 from __future__ import annotations
 
+from ..functions.dates import DAY_FIRST, PIVOT
+
 # ---------------------------------------------------------------- expression templates
 
 _WS = "(" + " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace()) + ")"
 _DECIMAL = r"'^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
 _THOUSANDS = r"'^[+-]?[0-9]{1,3}([.][0-9]{3})+$'"
-_DAY_FIRST = r"'^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$'"
+_DAY_FIRST = f"'{DAY_FIRST}'"
 _ISO = r"'^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$'"
 _SERIAL = r"'^[0-9]+([.][0-9]+)?$'"
 
@@ -33,10 +35,23 @@ def number_br(x: str) -> str:
     return f"COALESCE(CASE WHEN regexp_matches({n}, {_DECIMAL}) THEN TRY_CAST({n} AS DOUBLE) END, 0.0)"
 
 
+def _day_first(t: str) -> str:
+    part = lambda k: f"regexp_extract({t}, {_DAY_FIRST}, {k})"
+    y = part(3)
+    year = f"(CASE WHEN length({y}) = 4 THEN {y} WHEN {y} >= '{PIVOT}' THEN '19' || {y} ELSE '20' || {y} END)"
+    day = f"{year} || '-' || {part(2)} || '-' || {part(1)}"
+    return (f"CASE WHEN regexp_matches({t}, {_DAY_FIRST}) "
+            f"THEN CAST(try_strptime({day}, '%Y-%m-%d') AS DATE) END")
+
+
+def _iso(t: str) -> str:
+    return (f"CASE WHEN regexp_matches({t}, {_ISO}) "
+            f"THEN CAST(try_strptime(substr({t}, 1, 10), '%Y-%m-%d') AS DATE) END")
+
+
 def date_br(x: str) -> str:
     t = trim(x)
-    return (f"(CASE WHEN regexp_matches({t}, {_DAY_FIRST}) "
-            f"THEN CAST(try_strptime({t}, '%d/%m/%Y') AS DATE) END)")
+    return f"COALESCE({_day_first(t)}, {_iso(t)})"
 
 
 def date_robust(x: str) -> str:
@@ -44,8 +59,7 @@ def date_robust(x: str) -> str:
     num = f"TRY_CAST({t} AS DOUBLE)"
     return (
         "COALESCE("
-        f"CASE WHEN regexp_matches({t}, {_DAY_FIRST}) THEN CAST(try_strptime({t}, '%d/%m/%Y') AS DATE) END, "
-        f"CASE WHEN regexp_matches({t}, {_ISO}) THEN CAST(try_strptime(substr({t}, 1, 10), '%Y-%m-%d') AS DATE) END, "
+        f"{_day_first(t)}, {_iso(t)}, "
         f"CASE WHEN regexp_matches({t}, {_SERIAL}) AND {num} <= 2958465 THEN "
         f"CAST(TIMESTAMP '1899-12-30 00:00:00' + to_seconds(CAST(round({num} * 86400) AS BIGINT)) AS DATE) END)"
     )
@@ -56,8 +70,8 @@ def ratio_half_up(num: str, den: str, scale: int, digits: int) -> str:
     return (
         f"(CASE WHEN {den} IS NULL OR {den} <= 0 THEN 0.0 "
         f"WHEN {num} = floor({num}) AND {den} = floor({den}) THEN "
-        f"CAST((CAST({num} AS BIGINT) * {2 * scale * factor} + CAST({den} AS BIGINT)) "
-        f"// (CAST({den} AS BIGINT) * 2) AS DOUBLE) / {factor} "
+        f"CAST((CAST({num} AS HUGEINT) * {2 * scale * factor} + CAST({den} AS HUGEINT)) "
+        f"// (CAST({den} AS HUGEINT) * 2) AS DOUBLE) / {factor} "
         f"ELSE round({num} * {scale} / {den}, {digits}) END)"
     )
 

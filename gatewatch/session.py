@@ -59,10 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: name a folder every executor shares")
-    local = tempfile.mkdtemp(prefix="gatewatch-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    # a local session (tests): the folder is known to the context alone, as the
+    # setting itself cannot be changed once the session runs
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gatewatch-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -13,9 +13,7 @@ def spark(tmp_path_factory):
     s = build_session(master="local[4]", shuffle_partitions=4, app_name="gatewatch-tests")
     # tests only: no cluster-provided checkpoint folder, so use a scratch one
     if not s.conf.get("spark.checkpoint.dir", None):
-        d = str(tmp_path_factory.mktemp("ckpt"))
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("ckpt")))
     yield s
     s.stop()
 

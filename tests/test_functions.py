@@ -34,9 +34,22 @@ def test_parse_date_robust_fixture_a(spark):
                    dt.date(2025, 3, 1)]
 
 
-def test_parse_date_br_only_day_first(spark):
-    got = one_col(spark, ["01/03/2025", "1/3/2025", "2025-03-01", "31/02/2025", ""], parse_date_br)
-    assert got == [dt.date(2025, 3, 1), dt.date(2025, 3, 1), None, None, None]
+def test_parse_date_br_day_first_and_iso(spark):
+    day = dt.date(2025, 3, 5)
+    same = ["05/03/2025", "5/3/2025", "2025-03-05", "2025-03-05 00:00:00", "05/03/2025 00:00:00", "05/03/2025 14:30",
+            "05-03-2025", "05.03.2025", "05/03/25"]
+    for parse in (parse_date_br, parse_date_robust):
+        assert one_col(spark, same, parse) == [day] * len(same)
+        assert one_col(spark, ["05/03/68", "05/03/69"], parse) == [dt.date(2068, 3, 5), dt.date(1969, 3, 5)]
+        assert one_col(spark, ["31/02/2025", "", "5/3", "05/03/2025 x", "5/3/202"], parse) == [None] * 5
+    assert one_col(spark, ["45321"], parse_date_br) == [None]
+
+
+def test_retention_rate_of_very_large_counts(spark):
+    # halves are rounded up whatever the size; doubles would lose them
+    rows = [(19999 * k, k) for k in (10**8, 10**11, 10**12 + 1, 10**13 + 3)] + [(5 * 10**16, 5 * 10**16)]
+    df = spark.createDataFrame(rows, "released long, retained long")
+    assert [r[0] for r in df.select(retention_rate("released", "retained")).collect()] == [0.01] * 4 + [50.0]
 
 
 def test_unicode_trim_t16_and_operator_t17(spark):

@@ -17,7 +17,11 @@ def half_up_pct(m: int, t: int) -> float:
 
 
 @SETTINGS
-@given(st.lists(st.tuples(st.integers(0, 10**9), st.integers(0, 10**9)), min_size=1, max_size=60))
+@given(st.lists(st.one_of(
+    st.tuples(st.integers(0, 10**17), st.integers(0, 10**17)),
+    # exact ties: half a hundredth of a percent
+    st.integers(1, 10**13).map(lambda k: (19999 * k, k)), st.integers(1, 10**13).map(lambda k: (19993 * k, 7 * k))),
+    min_size=1, max_size=200))
 def test_retention_rate_is_exact_half_up(spark, pairs):
     df = spark.createDataFrame(pairs, "released long, retained long")
     got = [r[0] for r in df.select(retention_rate("released", "retained")).collect()]
