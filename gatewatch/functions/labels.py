@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import UNKNOWN_OPERATOR
 from .text import col_of
 
 
@@ -26,5 +27,5 @@ def label_decimal1(c) -> Column:
 
 def report_line(operator, flights, routes) -> Column:
     """'<operator> - <flights> voos - <routes> rotas' report line."""
-    return F.format_string("%s - %s voos - %s rotas", col_of(operator),
+    return F.format_string("%s - %s voos - %s rotas", F.coalesce(col_of(operator), F.lit(UNKNOWN_OPERATOR)),
                            col_of(flights).cast("string"), col_of(routes).cast("string"))

@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from ..functions import (as_date, blank_to_null, clean_operator, format_date_br,
                          label_int, label_pct, parse_date_br, parse_number_br,
                          retention_rate, to_number_or_zero)
-from ..functions.text import normalize_header
+from ..functions.text import normalize_header, parsed_once, unicode_trim
 from ..schemas import (AUDIT_COLUMNS, AUDIT_HEADERS, FLIGHT_COLUMNS, FLIGHT_HEADERS,
-                       SHIFT_TYPES)
+                       OPERATIONS, SHIFT_TYPES)
 
 # Monday-first weekday order used by the heat map.
 WEEKDAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -43,9 +43,17 @@ def _audit_number(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
 
+def with_total(df: DataFrame) -> DataFrame:
+    """The one rule for ``total``, at import, append and edit: where there is
+    none, it is released + retained."""
+    return df.withColumn("total", F.coalesce("total", F.col("released") + F.col("retained")))
+
+
 def type_audit(raw: DataFrame) -> DataFrame:
     """Raw audit upload -> typed columns with build names; undated rows kept
-    (``audit_date`` null) so that ``split_invalid`` can report them."""
+    (``audit_date`` null) so that ``split_invalid`` can report them. A missing
+    or blank total follows ``with_total``. Every text is parsed once, whatever
+    is filtered on later."""
     df = normalize_headers(raw)
     out = []
     for src, dst in AUDIT_HEADERS.items():
@@ -56,12 +64,15 @@ def type_audit(raw: DataFrame) -> DataFrame:
             raise ValueError(f"missing audit column {src}")
         if dst == "audit_date":
             out.append(as_date(src, df.schema[src].dataType).alias(dst))
-        elif dst in ("released", "retained", "total"):
+        elif dst == "total":
+            given = blank_to_null(F.col(src).cast("string")).isNotNull()
+            out.append(F.when(given, _audit_number(df, src)).alias(dst))
+        elif dst in ("released", "retained"):
             out.append(_audit_number(df, src).alias(dst))
         else:
             out.append(F.col(src).cast("string").alias(dst))
     extra = [F.col(c).alias("row_id") for c in ("ROW_ID",) if c in df.columns]
-    return df.select(*out, *extra)
+    return parsed_once(with_total(df.select(*out, *extra)))
 
 
 def split_invalid(typed: DataFrame, date_col: str = "audit_date") -> tuple[DataFrame, DataFrame]:
@@ -89,16 +100,17 @@ def drop_undated(df: DataFrame, date_col: str = "flight_date") -> DataFrame:
 
 
 def forward_fill(df: DataFrame, column: str, order_by: str,
-                 partition_by: str | None = None, block_size: int = 1 << 20) -> DataFrame:
+                 partition_by: str, block_size: int = 1 << 20) -> DataFrame:
     """Fill nulls in ``column`` with the last non-null value before them in
-    ``order_by`` order (per ``partition_by``, e.g. the source file).
+    ``order_by`` order within ``partition_by`` (the source file; order has no
+    meaning across files). Rows without a file count as one file.
 
     Scales past one huge file: rows are cut into blocks of ``block_size``
     consecutive order values; each block is filled by its own window, and the
     value carried into a block comes from a window over the small per-block
     summary. No task ever holds more than one block of one file.
     """
-    keys = [partition_by] if partition_by else []
+    keys = [partition_by]
     block = "_ff_block"
     staged = df.withColumn(block, F.floor(F.col(order_by) / F.lit(block_size)).cast("long"))
 
@@ -111,12 +123,14 @@ def forward_fill(df: DataFrame, column: str, order_by: str,
     carry_w = (Window.partitionBy(*keys).orderBy(block)
                .rowsBetween(Window.unboundedPreceding, -1))
     carries = last_in_block.select(
-        *keys, block, F.last("_ff_last", ignorenulls=True).over(carry_w).alias("_ff_carry"))
+        F.col(partition_by).alias("_ff_file"), F.col(block).alias("_ff_in"),
+        F.last("_ff_last", ignorenulls=True).over(carry_w).alias("_ff_carry"))
 
     inner_w = (Window.partitionBy(*keys, block).orderBy(order_by)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col(partition_by).eqNullSafe(F.col("_ff_file")) & (F.col(block) == F.col("_ff_in"))
     filled = (
-        staged.join(carries, on=[*keys, block], how="left")
+        staged.join(carries, on=same, how="left")
         .withColumn(column, F.coalesce(F.last(column, ignorenulls=True).over(inner_w),
                                        F.col("_ff_carry")))
     )
@@ -139,16 +153,20 @@ def type_flights(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             cols.append(to_number_or_zero(src).alias(dst))
         else:
             cols.append(F.col(src).cast("string").alias(dst))
-    return raw.select(*cols, *keep)
+    return parsed_once(raw.select(*cols, *keep))
+
+
+def fill_dates(raw: DataFrame, order_by: str, file_col: str, block_size: int = 1 << 20) -> DataFrame:
+    """Raw flight rows with the dates of merged cells filled in file order."""
+    blanked = raw.withColumn("Data", blank_to_null("Data"))
+    return forward_fill(blanked, "Data", order_by=order_by, partition_by=file_col, block_size=block_size)
 
 
-def import_flights(raw: DataFrame, order_by: str, file_col: str | None = None,
+def import_flights(raw: DataFrame, order_by: str, file_col: str,
                    keep: Sequence[str] = ()) -> DataFrame:
     """Spreadsheet import: blank dates -> null -> forward fill in file order
     (merged cells), parse, drop still-undated rows, coerce, trim."""
-    blanked = raw.withColumn("Data", blank_to_null("Data"))
-    filled = forward_fill(blanked, "Data", order_by=order_by, partition_by=file_col)
-    return drop_undated(type_flights(filled, keep=keep))
+    return drop_undated(type_flights(fill_dates(raw, order_by, file_col), keep=keep))
 
 
 def clean_flights(raw: DataFrame) -> DataFrame:
@@ -208,23 +226,27 @@ def period_label(df: DataFrame, start, end, date_col: str = "audit_date") -> Dat
 
 # ---------------------------------------------------------------- manual records
 
-def validate_audit(records: DataFrame) -> DataFrame:
-    """Form records: carrier required, counts non-negative whole numbers,
-    total = released + retained. Invalid rows are flagged, not dropped."""
-    carrier_ok = F.col("carrier").isNotNull() & (F.trim(F.col("carrier")) != "")
-    counts_ok = (F.col("released") >= 0) & (F.col("retained") >= 0)
+def _count(c: str) -> Column:
+    """A whole number, zero or more."""
+    return (F.col(c) >= 0) & (F.col(c) == F.floor(c))
+
+
+def validate_audit(records: DataFrame, operations: Sequence[str] = OPERATIONS) -> DataFrame:
+    """Form records: carrier required, operation one of the form's, counts
+    whole and not negative, total = released + retained. Invalid rows are
+    flagged, not dropped."""
+    ok = ((unicode_trim("carrier") != "") & F.col("operation").isin(*operations)
+          & _count("released") & _count("retained") & F.col("audit_date").isNotNull())
     return (records
             .withColumn("total", F.col("released") + F.col("retained"))
-            .withColumn("is_valid", F.coalesce(carrier_ok & counts_ok & F.col("audit_date").isNotNull(),
-                                               F.lit(False))))
+            .withColumn("is_valid", F.coalesce(ok, F.lit(False))))
 
 
 def validate_flight(records: DataFrame) -> DataFrame:
-    """Form records: operator required, type FIXO/RESERVA, counts >= 0."""
-    ok = (F.col("operator").isNotNull() & (F.trim(F.col("operator")) != "")
-          & F.col("shift_type").isin(*SHIFT_TYPES)
-          & (F.col("routes") >= 0) & (F.col("flights") >= 0)
-          & F.col("flight_date").isNotNull())
+    """Form records: operator required, type FIXO/RESERVA, counts whole and
+    not negative."""
+    ok = ((unicode_trim("operator") != "") & F.col("shift_type").isin(*SHIFT_TYPES)
+          & _count("routes") & _count("flights") & F.col("flight_date").isNotNull())
     return records.withColumn("is_valid", F.coalesce(ok, F.lit(False)))
 
 
@@ -239,7 +261,7 @@ def unpivot_measures(df: DataFrame, ids: Sequence[str],
 __all__ = [
     "WEEKDAY_ORDER", "normalize_headers", "select_expected", "type_audit", "split_invalid",
     "clean_audit", "drop_undated", "forward_fill", "type_flights", "import_flights",
-    "clean_flights", "with_storage_dates", "with_period", "with_month_abbr", "with_weekday",
+    "clean_flights", "fill_dates", "with_total", "with_storage_dates", "with_period", "with_month_abbr", "with_weekday",
     "with_retention", "with_labels", "period_label", "validate_audit", "validate_flight",
     "unpivot_measures", "AUDIT_COLUMNS", "FLIGHT_COLUMNS",
 ]

@@ -117,6 +117,14 @@ def last_months(df: DataFrame, n: int = 3, months=None, month_col: str = "year_m
     return df.join(F.broadcast(latest), on=month_col, how="left_semi")
 
 
+def in_range(old: DataFrame, new: DataFrame, date_col: str) -> Column:
+    """Condition on ``old``: the row's date lies within those of ``new``, or it
+    has none. Bounds are scalar subqueries; the predicate reaches the scan."""
+    low, high = new.select(F.min(date_col)).scalar(), new.select(F.max(date_col)).scalar()
+    day = F.col(date_col)
+    return day.isNull() | F.coalesce(day.between(low, high), F.lit(False))
+
+
 # ---------------------------------------------------------------- flight filters
 
 def filter_operators(df: DataFrame, operators=None) -> DataFrame:
@@ -158,7 +166,7 @@ def timeline(df: DataFrame, as_of, days: int = 90, date_col: str = "flight_date"
         .otherwise(F.min(date_col))
     start = df.select(
         F.when((cand >= lo) & (cand <= F.max(date_col)), cand).otherwise(lo)).scalar()
-    return df.where((F.col(date_col) >= start) & (F.col(date_col) <= df.select(F.max(date_col)).scalar()))
+    return df.where(F.col(date_col) >= start)  # no dated row is later than the last
 
 
 def with_notes(df: DataFrame, notes_col: str = "notes") -> DataFrame:

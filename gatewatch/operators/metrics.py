@@ -18,7 +18,7 @@ from ..functions import (category_of, label_decimal1, label_int, label_pct, rati
 from ..functions.classify import DEFAULT_RULES, Rules
 from ..functions.rates import axis_limit, rate_band
 from .cleaning import with_month_abbr, with_period, with_weekday
-from .filters import audit_predicate, last_days, month_of, previous_window
+from .filters import audit_predicate, in_range, last_days, month_of, previous_window
 
 # Funnel stage labels, in display order.
 FUNNEL_STAGES = ["Veículos na Portaria", "🟢 Liberados (Viagem)", "🔴 Retidos (Malha Fina)"]
@@ -225,11 +225,18 @@ def count_categories(df: DataFrame, rules: Rules = DEFAULT_RULES,
 
 # ---------------------------------------------------------------- maintenance report
 
-def merge_report(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_report(old: DataFrame, new: DataFrame, date_col: str | None = None) -> DataFrame:
     """Rows before and after an exact-dedupe merge, and duplicates ignored.
 
-    One aggregation: count copies per distinct row, then sum the counts.
+    One aggregation: count copies per distinct row, then sum the counts. With
+    ``date_col`` as in ``merge_import``: stored rows outside the import's date
+    range are counted where they are, and only the others are grouped.
     """
+    if date_col is not None:
+        near = in_range(old, new, date_col)
+        far = old.where(~near).select(F.count(F.lit(1))).scalar()
+        met = merge_report(old.where(near), new)
+        return met.withColumns({c: F.col(c) + far for c in ("rows_before", "rows_after")})
     combined = old.unionByName(new, allowMissingColumns=True)
     per_row = combined.groupBy(*combined.columns).agg(F.count(F.lit(1)).alias("_copies"))
     return per_row.agg(

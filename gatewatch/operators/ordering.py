@@ -10,12 +10,18 @@ from .cleaning import with_retention
 from .metrics import with_category
 
 
-# Last sort key for ordered outputs: identical copies may hold a large share
-# of the rows and a range partitioner cannot split equal keys; a random
-# tie-break among identical rows lets it spread them and changes nothing
-# in the result (the rows are indistinguishable).
-def _copies_tiebreak():
-    return F.rand(17)
+def _sorted(df: DataFrame, *keys) -> DataFrame:
+    """``df`` in the order of ``keys``, identical rows side by side.
+
+    A range partitioner cannot split equal keys, and copies may hold a large
+    share of the rows. So copies are counted first (with a partial step before
+    the shuffle), one row of each is sorted, and the copies are put back where
+    it landed. Nothing depends on the order in which a task sees its rows, so
+    a task that runs again gives the same ranges.
+    """
+    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return copies.orderBy(*keys).select(*[F.col(f"`{c}`") for c in df.columns], again.alias("_copy")).drop("_copy")
 
 
 def detail(df: DataFrame) -> DataFrame:
@@ -25,9 +31,9 @@ def detail(df: DataFrame) -> DataFrame:
     (date, carrier) pair across tasks.
     """
     out = with_retention(df)
-    return out.orderBy("audit_date", F.col("carrier").asc_nulls_first(),
-                       F.col("operation").asc_nulls_first(), "released", "retained",
-                       _copies_tiebreak())
+    first = ["audit_date", "carrier", "operation", "released", "retained"]
+    rest = [c for c in out.columns if c not in first]
+    return _sorted(out, *[F.col(f"`{c}`").asc_nulls_first() for c in (*first, *rest)])
 
 
 def sort_for_save(df: DataFrame, date_col: str = "audit_date") -> DataFrame:
@@ -36,17 +42,16 @@ def sort_for_save(df: DataFrame, date_col: str = "audit_date") -> DataFrame:
     A global sort on the date plus every other column as tie-breakers, so
     the range partitioner can split a hot date across output files.
     """
-    others = [F.col(c).asc_nulls_first() for c in df.columns if c != date_col]
-    return df.orderBy(F.col(date_col).asc_nulls_first(), *others, _copies_tiebreak())
+    others = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns if c != date_col]
+    return _sorted(df, F.col(date_col).asc_nulls_first(), *others)
 
 
 def occurrence_detail(df: DataFrame, rules: Rules = DEFAULT_RULES,
                       text_col: str = "notes", date_col: str = "flight_date") -> DataFrame:
     """O3: date, operator, category, note of every categorised note, by date."""
     cat = with_category(df.where(F.col(text_col).isNotNull()), rules, text_col)
-    return (cat.where(F.col("category").isNotNull())
-               .select(date_col, "operator", "category", text_col)
-               .orderBy(date_col, "operator", "category", text_col, _copies_tiebreak()))
+    found = cat.where(F.col("category").isNotNull()).select(date_col, "operator", "category", text_col)
+    return _sorted(found, date_col, "operator", "category", text_col)
 
 
 def preview(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:

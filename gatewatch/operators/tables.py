@@ -1,28 +1,46 @@
 """Table maintenance: merge with exact dedupe, replace, append, scoped edits.
 
 These build the new table contents lazily; persisting is the job of
-``gatewatch.sources.sinks`` (which stages a rewrite of a table that the
-plan itself reads).
+``gatewatch.sources.sinks``. One rule holds for ``total`` wherever audit rows
+enter or stay (``cleaning.with_total``), so that sums over it are sums over
+all rows and a repeated import finds its rows again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cleaning import type_audit
+from .cleaning import with_total
+from .filters import in_range
+from .ordering import sort_for_save
 
 
-def merge_import(old: DataFrame | None, new: DataFrame) -> DataFrame:
+def _totalled(df: DataFrame) -> DataFrame:
+    return with_total(df) if {"total", "released", "retained"} <= set(df.columns) else df
+
+
+def merge_import(old: DataFrame | None, new: DataFrame, date_col: str | None = None) -> DataFrame:
     """Union + exact dedupe over all columns (nulls compare equal).
 
     The dedupe is a hash aggregate with a map-side partial step, so a group
     of many identical copies collapses inside each task before the shuffle.
     A first load (no old table) keeps the import as it is.
+
+    With ``date_col`` only stored rows in the import's date range are
+    compared; the others pass through without a shuffle. That is the full
+    result if the stored table holds no copies of its own, as after one merge
+    without ``date_col``.
     """
     if old is None:
-        return new
-    return old.unionByName(new, allowMissingColumns=True).dropDuplicates()
+        return _totalled(new)
+    old, new = _totalled(old), _totalled(new)
+    if date_col is None:
+        return old.unionByName(new, allowMissingColumns=True).dropDuplicates()
+    near = in_range(old, new, date_col)
+    # rows without a date are few and are compared as well
+    met = old.where(near).unionByName(new, allowMissingColumns=True).dropDuplicates()
+    return old.where(~near).unionByName(met, allowMissingColumns=True)
 
 
 def replace_import(new: DataFrame) -> DataFrame:
@@ -32,30 +50,26 @@ def replace_import(new: DataFrame) -> DataFrame:
 
 def append(old: DataFrame, rows: DataFrame) -> DataFrame:
     """Add records, duplicates kept."""
-    return old.unionByName(rows, allowMissingColumns=True)
+    return _totalled(old).unionByName(_totalled(rows), allowMissingColumns=True)
 
 
-def apply_edits(table: DataFrame, scope: DataFrame, edited: DataFrame,
-                key: str = "row_id") -> DataFrame:
-    """U4: edit save. Rows of ``scope`` (the filtered view that was edited)
-    are removed from ``table`` and replaced by ``edited`` (which may update,
-    insert or delete rows); the result is re-cleaned and its ``total`` is
-    recomputed as released + retained.
+def apply_edits(table: DataFrame, scope: Column | DataFrame, edited: DataFrame,
+                key: str = "row_id", sort: bool = True) -> DataFrame:
+    """U4: edit save. Rows of the filtered view that was edited are removed
+    from ``table`` and replaced by ``edited`` (which may update, insert or
+    delete rows). Edited rows without a date are dropped, their missing
+    counts are 0 and their total is released + retained; rows outside the
+    view stay as they are but for a missing total. Sorted for saving.
 
-    Rows are identified by an explicit ``key`` column; the anti join
-    shuffles on that key only.
+    ``scope`` is the view's predicate, which needs no join; or an explicit
+    list of ids (a frame with ``key``), which is taken out by an anti join.
     """
-    kept = table.join(scope.select(key), on=key, how="left_anti")
+    if isinstance(scope, Column):
+        kept = table.where(~F.coalesce(scope, F.lit(False)))
+    else:
+        kept = table.join(scope.select(key), on=key, how="left_anti")
+    edited = edited.where(F.col("audit_date").isNotNull())
+    edited = edited.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("released", "retained")})
     edited = edited.withColumn("total", F.col("released") + F.col("retained"))
-    combined = kept.unionByName(edited, allowMissingColumns=True)
-    recleaned = type_audit(_as_raw(combined, key))
-    return recleaned.where(F.col("audit_date").isNotNull())
-
-
-def _as_raw(df: DataFrame, key: str) -> DataFrame:
-    """Typed audit rows back under their source headers for re-cleaning."""
-    names = {"audit_date": "DATA", "carrier": "TRANSPORTADORA", "operation": "OPERAÇÃO",
-             "released": "LIBERADOS", "retained": "MALHA", "total": "TOTAL TRANSPORTADORAS"}
-    cols = [F.col(c).alias(names.get(c, c)) for c in df.columns if c in names or c == key]
-    out = df.select(*cols)
-    return out.withColumnRenamed(key, "row_id") if key != "row_id" else out
+    out = with_total(kept).unionByName(edited, allowMissingColumns=True)
+    return sort_for_save(out) if sort else out

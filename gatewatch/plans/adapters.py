@@ -21,20 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import type_audit
-from ..sources.readers import read_table, spread
+from ..sources.readers import read_table
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, fact: bool = True) -> DataFrame:
-    """A test table; fact-side scans are spread over all cores when the file
-    gives fewer splits than cores (dimension sides are not: they are
-    broadcast or joined as they are)."""
-    df = read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if fact else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table."""
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (ship date, carrier, operation) with released / retained /
-    total counts.
+    total counts; some line items name no carrier.
 
     The supplier side goes through the planner's size check
     (``autoBroadcastJoinThreshold``): broadcast while small, sort-merge
@@ -42,13 +39,13 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys); the group-by combines map-side before its shuffle.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_shipdate")
-    orders = table(spark, sf_dir, "orders", fact=False).select("o_orderkey", "o_orderpriority")
-    supplier = table(spark, sf_dir, "supplier", fact=False).select("s_suppkey", "s_name")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     joined = (li.join(supplier, li.l_suppkey == supplier.s_suppkey)
                 .join(orders, li.l_orderkey == orders.o_orderkey))
     returned = F.col("l_returnflag") == "R"
     return (joined.groupBy(F.to_date("l_shipdate").alias("audit_date"),
-                           F.col("s_name").alias("carrier"),
+                           F.when(F.col("l_suppkey") % 37 != 5, F.col("s_name")).alias("carrier"),
                            F.col("o_orderpriority").alias("operation"))
             .agg(F.count_if(~returned).alias("released"),
                  F.count_if(returned).alias("retained"),
@@ -70,8 +67,14 @@ def audit_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("l_orderkey") + F.col("l_linenumber")) % 5
     odd_line = F.col("l_linenumber") % 2 == 1
     serial = F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")
+    form = F.col("l_orderkey") % 5
+    typed = (F.when(form == 0, F.date_format(d, "dd/MM/yyyy"))
+             .when(form == 1, F.date_format(d, "dd/MM/yyyy' 00:00:00'"))
+             .when(form == 2, F.date_format(d, "dd-MM-yyyy"))
+             .when(form == 3, F.date_format(d, "dd.MM.yyyy' 14:30'"))
+             .otherwise(F.date_format(d, "dd/MM/yy")))
     date_text = (
-        F.when(k == 0, F.date_format(d, "dd/MM/yyyy"))
+        F.when(k == 0, typed)
         .when(k == 1, F.concat(F.lit(" "), F.dayofmonth(d).cast("string"), F.lit("/"),
                                F.month(d).cast("string"), F.lit("/"), F.year(d).cast("string"), F.lit(" ")))
         .when(k == 2, F.when(odd_line, F.concat(serial, F.lit(".75"))).otherwise(serial))
@@ -107,11 +110,11 @@ def audit_clean_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as flight-log rows: one operator per customer."""
+    """Orders as flight-log rows: one operator per customer, some without."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.to_date("o_orderdate").alias("flight_date"),
-        F.concat(F.lit("OP-"), F.col("o_custkey").cast("string")).alias("operator"),
+        F.when(F.col("o_custkey") % 41 != 7, F.concat(F.lit("OP-"), F.col("o_custkey").cast("string"))).alias("operator"),
         F.when(F.col("o_custkey") % 4 == 0, F.lit("RESERVA")).otherwise(F.lit("FIXO")).alias("shift_type"),
         F.floor(F.col("o_totalprice") / 1000).cast("double").alias("routes"),
         (F.col("o_orderkey") % 3).cast("double").alias("flights"),
@@ -126,13 +129,15 @@ def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an imported spreadsheet: the date only on the first row of
     each merged block (others blank or empty), padded operator names, numbers
     as text. ``file_id`` stands for the source file, ``row_no`` for the row
-    order in it."""
+    order in it; some rows have no file."""
     e = table(spark, sf_dir, "events")
-    k5 = F.col("event_id") % 5
+    k5, form = F.col("event_id") % 5, F.col("event_id") % 4
+    text = (F.when(form == 0, F.date_format("ts", "dd/MM/yyyy")).when(form == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+            .when(form == 2, F.date_format("ts", "dd-MM-yy")).otherwise(F.date_format("ts", "dd.MM.yyyy")))
     return e.select(
-        F.col("user_id").alias("file_id"),
+        F.when(F.col("user_id") % 30 != 7, F.col("user_id")).alias("file_id"),
         F.col("event_id").alias("row_no"),
-        F.when(k5 == 0, F.date_format("ts", "dd/MM/yyyy"))
+        F.when(k5 == 0, text)
          .when(k5 == 1, F.lit("   ")).alias("Data"),
         F.when(F.col("event_id") % 7 == 3, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit(" OP-"), (F.col("user_id") % 20).cast("string"), F.lit(NBSP)))
@@ -146,14 +151,19 @@ def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as flight-log rows whose note is the whole document text."""
+    """Documents as flight-log rows whose note is the whole document text;
+    some end with a remark as operators write it, some rows have no note or no
+    operator."""
     d = table(spark, sf_dir, "documents")
+    remark = F.col("doc_id") % 11
+    note = F.concat(F.col("text"), F.when(remark == 3, F.lit(" Chuva forte")).when(remark == 4, F.lit(" hélice quebrada"))
+                    .when(remark == 5, F.lit(" falta")).when(remark == 6, F.lit(" fogos")).otherwise(F.lit("")))
     return d.select(
         F.col("doc_id").alias("note_id"),
         F.date_add(F.lit("2025-01-01").cast("date"), (F.col("doc_id") % 400).cast("int")).alias("flight_date"),
-        F.col("source").alias("operator"),
+        F.when(F.col("doc_id") % 23 != 0, F.col("source")).alias("operator"),
         F.lit("FIXO").alias("shift_type"),
         F.lit(0.0).alias("routes"),
         F.lit(0.0).alias("flights"),
-        F.col("text").alias("notes"),
+        F.when(F.col("doc_id") % 17 != 0, note).alias("notes"),
     )

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, report_line
+from ..functions import blank_to_null, format_date_br, parse_date_br, report_line
 from ..functions.classify import DEFAULT_RULES, rules_sql_case
 from ..operators import cleaning as C
 from ..operators import filters as FL
@@ -22,6 +22,7 @@ from ..operators import metrics as M
 from ..operators import ordering as O
 from ..operators import tables as TB
 from . import adapters as AD
+from . import io_queries as IO
 from . import oracle as Q
 from .oracle import with_views
 
@@ -43,6 +44,8 @@ class Query:
 YEARS = [1996, 1997, 1998, 1999, 2000]
 START, END = "1996-03-01", "2000-06-30"
 OPERATIONS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
+CARRIERS = [f"Supplier#{k:09d}" for k in range(1, 60, 2)]
+OPERATORS = [f"OP-{k}" for k in range(1, 120)]
 FLIGHT_AS_OF = "2001-06-15"
 NOTES_AS_OF = "2025-12-31"
 PROD_YEAR = 1998
@@ -260,23 +263,32 @@ def _q_sort_for_save(spark, sf):
 
 
 def _q_edits(spark, sf):
-    table = AD.audit_with_ids(spark, sf)
-    scope = FL.filter_audit(table, years=[1998])
-    edited = (scope.where(F.col("operation") != "5-LOW")
+    # some stored rows came without a total
+    table = AD.audit_with_ids(spark, sf).withColumn(
+        "total", F.when(F.dayofmonth("audit_date") % 3 != 0, F.col("total")))
+    scope = FL.audit_predicate(years=[1998])
+    edited = (table.where(scope).where(F.col("operation") != "5-LOW")
                    .withColumn("released", F.when(F.col("operation") == "1-URGENT",
                                                   F.col("released") + 1).otherwise(F.col("released"))))
     return TB.apply_edits(table, scope, edited)
 
 
-_EDITS_SQL = with_views(f"""
-SELECT audit_date, carrier, operation, CAST(released AS DOUBLE) AS released,
-       CAST(retained AS DOUBLE) AS retained, CAST(total AS DOUBLE) AS total, row_id
+_EDITS = f"""
+SELECT audit_date, carrier, operation, released, retained, total, row_id
 FROM audit_ids WHERE NOT {_sql_years('audit_date', [1998])}
 UNION ALL
-SELECT audit_date, carrier, operation, CAST(r AS DOUBLE), CAST(retained AS DOUBLE),
-       CAST(r + retained AS DOUBLE), row_id
+SELECT audit_date, carrier, operation, r, retained, r + retained, row_id
 FROM (SELECT *, CASE WHEN operation = '1-URGENT' THEN released + 1 ELSE released END AS r
-      FROM audit_ids WHERE {_sql_years('audit_date', [1998])} AND operation <> '5-LOW')""", "audit_ids")
+      FROM audit_ids WHERE {_sql_years('audit_date', [1998])} AND operation <> '5-LOW')"""
+_EDITS_SQL = with_views(_EDITS, "audit_ids")
+
+
+def _q_kpis_after_edit(spark, sf):
+    return M.audit_kpis(_q_edits(spark, sf))
+
+
+def _q_filter_carriers(spark, sf):
+    return FL.filter_audit(_audit(spark, sf), YEARS, None, None, OPERATIONS, CARRIERS)
 
 
 # ---------------------------------------------------------------- raw audit (cleaning)
@@ -310,6 +322,23 @@ def _q_merge_report(spark, sf):
     return M.merge_report(old, new)
 
 
+def _q_merge_range(spark, sf):
+    old, new = _reimport(spark, sf)
+    return TB.merge_import(old, new, "audit_date")
+
+
+def _q_merge_report_range(spark, sf):
+    old, new = _reimport(spark, sf)
+    return M.merge_report(old, new, "audit_date")
+
+
+# stored rows in the import's range and the import itself; the other stored rows
+_RANGE_CTES = ("stored AS (SELECT * FROM audit_typed WHERE audit_date IS NOT NULL)",
+               "span AS (SELECT min(audit_date) AS lo, max(audit_date) AS hi FROM again)",
+               "met AS (SELECT stored.* FROM stored, span WHERE audit_date BETWEEN lo AND hi UNION ALL SELECT * FROM again)",
+               "far AS (SELECT stored.* FROM stored, span WHERE NOT audit_date BETWEEN lo AND hi)")
+
+
 _REIMPORT_CTE = "again AS (SELECT * FROM audit_typed WHERE audit_date IS NOT NULL " \
                 "AND audit_date >= DATE '1998-01-01' AND audit_date <= DATE '1998-12-31')"
 
@@ -393,7 +422,15 @@ def _q_flight_day(spark, sf):
 
 
 def _q_flights_no_ops(spark, sf):
-    return FL.filter_operators(_flights(spark, sf), [])
+    """What an empty selection leaves, beside what there is."""
+    f = _flights(spark, sf)
+    left = FL.filter_operators(f, []).groupBy("shift_type").agg(F.count(F.lit(1)).alias("selected"))
+    return f.groupBy("shift_type").agg(F.count(F.lit(1)).alias("stored")).join(left, "shift_type", "left").select(
+        "shift_type", "stored", F.coalesce("selected", F.lit(0).cast("long")).alias("selected"))
+
+
+def _q_flights_ops(spark, sf):
+    return FL.filter_operators(_flights(spark, sf), OPERATORS)
 
 
 def _q_storage(spark, sf):
@@ -406,12 +443,24 @@ def _q_report_lines(spark, sf):
 
 
 def _q_validate_flight(spark, sf):
-    return C.validate_flight(_flights(spark, sf))
+    """Flight rows as form records, some of them wrong in one of the ways."""
+    r = F.col("r")
+    f = _flights(spark, sf).withColumn("r", F.col("routes"))
+    return C.validate_flight(f.withColumns({
+        "routes": F.when(r % 7 == 3, r + 0.5).otherwise(r),
+        "flights": F.when(r % 17 == 6, F.lit(-1.0)).otherwise(F.col("flights")),
+        "operator": F.when(r % 11 == 4, F.lit(AD.NBSP)).otherwise(F.col("operator")),
+        "shift_type": F.when(r % 13 == 5, F.lit("EXTRA")).otherwise(F.col("shift_type"))}).drop("r"))
 
 
 def _q_validate_audit(spark, sf):
-    a = AD.audit(spark, sf).drop("total")
-    return C.validate_audit(a)
+    """Audit rows as form records, some of them wrong in one of the ways."""
+    day = F.dayofmonth("audit_date")
+    a = AD.audit(spark, sf).drop("total").withColumns({
+        "released": F.when(day == 5, F.col("released") + 0.5).when(day == 9, F.lit(-1.0))
+        .otherwise(F.col("released").cast("double")),
+        "carrier": F.when(day == 7, F.lit(AD.NBSP)).otherwise(F.col("carrier"))})
+    return C.validate_audit(a, OPERATIONS)
 
 
 def _q_month_abbr(spark, sf):
@@ -429,14 +478,18 @@ def _q_import(spark, sf):
     return _flights_import(spark, sf)
 
 
-def _q_ffill(spark, sf):
-    raw = AD.flights_raw(spark, sf).withColumn("Data", blank_to_null("Data"))
-    return C.forward_fill(raw, "Data", order_by="row_no", partition_by="file_id") \
-        .select("file_id", "row_no", "Data")
+def _q_ffill(block_size):
+    def build(spark, sf):
+        raw = AD.flights_raw(spark, sf).withColumn("Data", blank_to_null("Data"))
+        return C.forward_fill(raw, "Data", order_by="row_no", partition_by="file_id", block_size=block_size) \
+            .select("file_id", "row_no", "Data")
+    return build
 
 
 def _q_preview(spark, sf):
-    return O.preview(_flights_import(spark, sf), "row_no", 5)
+    """The upload as it is seen before anything is dropped."""
+    filled = C.fill_dates(AD.flights_raw(spark, sf), "row_no", "file_id")
+    return O.preview(filled.withColumn("Data", format_date_br(parse_date_br("Data"))), "row_no", 5)
 
 
 def _q_merge_flights(spark, sf):
@@ -512,6 +565,11 @@ def _build() -> list[Query]:
         Query("audit_filter", ("F1",), _q_filter,
               audit(f"SELECT * FROM audit WHERE {F1_SQL}")),
         Query("audit_kpis", ("A1",), _q_kpis, audit(_kpi_sql("audit"))),
+        Query("audit_kpis_after_edit", ("A1", "U4"), _q_kpis_after_edit,
+              with_views(_kpi_sql("edited"), "audit_ids", extra=(f"edited AS ({_EDITS})",))),
+        Query("audit_filter_carriers", ("F1",), _q_filter_carriers, audit(
+            f"SELECT * FROM audit WHERE {_sql_years('audit_date', YEARS)} AND operation IN ({_sql_list(OPERATIONS)}) "
+            f"AND carrier IN ({_sql_list(CARRIERS)})")),
         Query("audit_previous_kpis", ("A2", "F7"), _q_prev_kpis, audit(_kpi_sql("audit", PREV_SQL))),
         Query("audit_kpi_deltas", ("A3", "P21"), _q_deltas, _DELTAS_SQL),
         Query("audit_rank_released", ("A4", "P16"), _q_rank_released, _rank_sql("released")),
@@ -553,10 +611,13 @@ SELECT *, released + retained AS row_total, {rate} AS retained_pct FROM audit WH
         Query("audit_period_label", ("P18",), _q_period_label, _PERIOD_LABEL_SQL),
         Query("audit_sorted_for_save", ("O2",), _q_sort_for_save, audit("SELECT * FROM audit")),
         Query("audit_apply_edits", ("U4",), _q_edits, _EDITS_SQL),
-        Query("audit_validate_records", ("P19",), _q_validate_audit, audit("""
+        Query("audit_validate_records", ("P19",), _q_validate_audit, audit(f"""
 SELECT audit_date, carrier, operation, released, retained, released + retained AS total,
-       COALESCE(carrier IS NOT NULL AND trim(carrier) <> '' AND released >= 0 AND retained >= 0
-                AND audit_date IS NOT NULL, FALSE) AS is_valid FROM audit""")),
+       COALESCE({Q.trim('carrier')} <> '' AND operation IN ({_sql_list(OPERATIONS)}) AND released >= 0
+                AND released = floor(released) AND retained >= 0 AND audit_date IS NOT NULL, FALSE) AS is_valid
+FROM (SELECT audit_date, CASE WHEN day(audit_date) = 7 THEN chr(160) ELSE carrier END AS carrier, operation,
+             CASE day(audit_date) WHEN 5 THEN released + 0.5 WHEN 9 THEN -1.0 ELSE released END::DOUBLE AS released,
+             retained FROM audit)""")),
         # raw audit uploads
         Query("audit_clean", ("P1", "P2", "P4", "P10", "U2"), _q_clean_audit, with_views(
             "SELECT * FROM audit_typed WHERE audit_date IS NOT NULL", "audit_typed")),
@@ -577,6 +638,14 @@ SELECT raw_date AS "DATA", raw_carrier AS "TRANSPORTADORA", raw_operation AS "OP
             f"AS duplicates_ignored", "audit_typed", extra=(
                 _REIMPORT_CTE, "u AS (SELECT * FROM audit_typed WHERE audit_date IS NOT NULL "
                 "UNION ALL SELECT * FROM again)"))),
+        Query("audit_merge_range", ("U1",), _q_merge_range, with_views(
+            "SELECT * FROM far UNION ALL SELECT DISTINCT * FROM met", "audit_typed",
+            extra=(_REIMPORT_CTE, *_RANGE_CTES))),
+        Query("audit_merge_report_range", ("A22", "U1"), _q_merge_report_range, with_views(
+            "SELECT f + b AS rows_before, f + a AS rows_after, b - a AS duplicates_ignored FROM (SELECT "
+            "(SELECT count(*) FROM far) AS f, (SELECT count(*) FROM met) AS b, "
+            "(SELECT count(*) FROM (SELECT DISTINCT * FROM met)) AS a)", "audit_typed",
+            extra=(_REIMPORT_CTE, *_RANGE_CTES))),
         Query("audit_append", ("U3",), _q_append, with_views(
             "SELECT * FROM audit_typed WHERE audit_date IS NOT NULL "
             "UNION ALL SELECT * FROM again", "audit_typed", extra=(_REIMPORT_CTE,))),
@@ -624,27 +693,35 @@ UNPIVOT (value FOR measure IN (routes, flights))""")),
         Query("flights_single_date", ("F3",), _q_flight_day, flights(
             f"SELECT * FROM flights WHERE flight_date = DATE '{RANGE_START}'")),
         Query("flights_no_operator_selected", ("F2",), _q_flights_no_ops, flights(
-            "SELECT * FROM flights WHERE FALSE")),
+            "SELECT shift_type, count(*) AS stored, count(*) FILTER (WHERE FALSE) AS selected FROM flights GROUP BY 1")),
+        Query("flights_operators_selected", ("F2",), _q_flights_ops, flights(
+            f"SELECT * FROM flights WHERE operator IN ({_sql_list(OPERATORS)})")),
         Query("flights_storage_format", ("P11",), _q_storage, flights(
             "SELECT strftime(flight_date, '%d/%m/%Y') AS flight_date, operator, shift_type, routes, flights, notes "
             "FROM flights")),
         Query("flights_report_lines", ("K6",), _q_report_lines, flights(
-            "SELECT operator || ' - ' || CAST(flights AS VARCHAR) || ' voos - ' || CAST(routes AS VARCHAR) "
+            "SELECT COALESCE(operator, 'Não Informado') || ' - ' || CAST(flights AS VARCHAR) || ' voos - ' || CAST(routes AS VARCHAR) "
             "|| ' rotas' AS line FROM flights")),
-        Query("flights_validate_records", ("P20",), _q_validate_flight, flights("""
-SELECT *, COALESCE(operator IS NOT NULL AND trim(operator) <> '' AND shift_type IN ('FIXO', 'RESERVA')
-                   AND routes >= 0 AND flights >= 0 AND flight_date IS NOT NULL, FALSE) AS is_valid
-FROM flights""")),
+        Query("flights_validate_records", ("P20",), _q_validate_flight, flights(f"""
+SELECT *, COALESCE({Q.trim('operator')} <> '' AND shift_type IN ('FIXO', 'RESERVA') AND routes >= 0
+                   AND routes = floor(routes) AND flights >= 0 AND flight_date IS NOT NULL, FALSE) AS is_valid
+FROM (SELECT flight_date, notes, CASE WHEN routes % 7 = 3 THEN routes + 0.5 ELSE routes END AS routes,
+             CASE WHEN routes % 17 = 6 THEN -1.0 ELSE flights END AS flights,
+             CASE WHEN routes % 11 = 4 THEN chr(160) ELSE operator END AS operator,
+             CASE WHEN routes % 13 = 5 THEN 'EXTRA' ELSE shift_type END AS shift_type FROM flights)""")),
         Query("flights_month_labels", ("P13",), _q_month_abbr, flights(
             f"SELECT DISTINCT flight_date, {_MONTH_ABBR} AS month_abbr FROM flights")),
         # spreadsheet import
         Query("flights_import", ("P3", "P5", "P7", "P8", "P9"), _q_import, with_views(
             "SELECT * FROM flights_imported", "flights_imported")),
-        Query("flights_forward_fill", ("P9",), _q_ffill, with_views(
+        Query("flights_forward_fill", ("P9",), _q_ffill(1 << 20), with_views(
+            'SELECT file_id, row_no, filled_date AS "Data" FROM flights_filled', "flights_filled")),
+        Query("flights_forward_fill_blocks", ("P9",), _q_ffill(16), with_views(
             'SELECT file_id, row_no, filled_date AS "Data" FROM flights_filled', "flights_filled")),
-        Query("flights_import_preview", ("O4",), _q_preview, with_views(
-            "SELECT * FROM flights_imported ORDER BY row_no LIMIT 5", "flights_imported")),
-        Query("flights_merge_import", ("U1", "U5"), _q_merge_flights, with_views(
+        Query("flights_import_preview", ("O4",), _q_preview, with_views(f"""
+SELECT file_id, row_no, strftime({Q.date_br('filled_date')}, '%d/%m/%Y') AS "Data", "Operador", "Tipo", "Rotas",
+       "Voos", "Obs" FROM flights_filled ORDER BY row_no LIMIT 5""", "flights_filled")),
+        Query("flights_merge_import", ("U1",), _q_merge_flights, with_views(
             "SELECT DISTINCT flight_date, operator, shift_type, routes, flights, notes FROM flights_imported",
             "flights_imported")),
         # notes
@@ -668,7 +745,7 @@ SELECT flight_date, operator, category FROM (
 WHERE category IS NOT NULL""")),
         Query("notes_timeline_occurrences", ("F12", "O3"), _q_timeline, _timeline_sql()),
     ]
-    return qs
+    return qs + [Query(name, covers, build, sql) for name, covers, build, sql in IO.QUERIES]
 
 
 QUERIES: list[Query] = _build()

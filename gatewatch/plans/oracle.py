@@ -99,7 +99,8 @@ def operator_clean(x: str) -> str:
 # ---------------------------------------------------------------- adapter views
 
 AUDIT = """audit AS (
-  SELECT CAST(l.l_shipdate AS DATE) AS audit_date, s.s_name AS carrier,
+  SELECT CAST(l.l_shipdate AS DATE) AS audit_date,
+         CASE WHEN l.l_suppkey % 37 <> 5 THEN s.s_name END AS carrier,
          o.o_orderpriority AS operation,
          CAST(count(*) FILTER (WHERE l.l_returnflag <> 'R') AS BIGINT) AS released,
          CAST(count(*) FILTER (WHERE l.l_returnflag = 'R') AS BIGINT) AS retained,
@@ -119,7 +120,9 @@ _SERIAL_TXT = f"CAST({_D} - DATE '1899-12-30' AS VARCHAR)"
 
 AUDIT_RAW = f"""audit_raw AS (
   SELECT l_orderkey AS src_order, l_linenumber AS src_line,
-    CASE WHEN {_K} = 0 THEN strftime({_D}, '%d/%m/%Y')
+    CASE WHEN {_K} = 0 THEN CASE l_orderkey % 5 WHEN 0 THEN strftime({_D}, '%d/%m/%Y')
+                WHEN 1 THEN strftime({_D}, '%d/%m/%Y 00:00:00') WHEN 2 THEN strftime({_D}, '%d-%m-%Y')
+                WHEN 3 THEN strftime({_D}, '%d.%m.%Y 14:30') ELSE strftime({_D}, '%d/%m/%y') END
          WHEN {_K} = 1 THEN ' ' || CAST(day({_D}) AS VARCHAR) || '/' || CAST(month({_D}) AS VARCHAR)
                             || '/' || CAST(year({_D}) AS VARCHAR) || ' '
          WHEN {_K} = 2 THEN CASE WHEN l_linenumber % 2 = 1 THEN {_SERIAL_TXT} || '.75' ELSE {_SERIAL_TXT} END
@@ -140,12 +143,13 @@ AUDIT_RAW = f"""audit_raw AS (
 AUDIT_TYPED = f"""audit_typed AS (
   SELECT {date_robust('raw_date')} AS audit_date, raw_carrier AS carrier,
          raw_operation AS operation, {number_br('raw_released')} AS released,
-         {number_br('raw_retained')} AS retained, CAST(NULL AS DOUBLE) AS total
+         {number_br('raw_retained')} AS retained,
+         {number_br('raw_released')} + {number_br('raw_retained')} AS total
   FROM audit_raw)"""
 
 FLIGHTS = """flights AS (
   SELECT CAST(o_orderdate AS DATE) AS flight_date,
-         'OP-' || CAST(o_custkey AS VARCHAR) AS operator,
+         CASE WHEN o_custkey % 41 <> 7 THEN 'OP-' || CAST(o_custkey AS VARCHAR) END AS operator,
          CASE WHEN o_custkey % 4 = 0 THEN 'RESERVA' ELSE 'FIXO' END AS shift_type,
          CAST(floor(o_totalprice / 1000) AS DOUBLE) AS routes,
          CAST(o_orderkey % 3 AS DOUBLE) AS flights,
@@ -153,8 +157,10 @@ FLIGHTS = """flights AS (
   FROM orders)"""
 
 FLIGHTS_RAW = """flights_raw AS (
-  SELECT user_id AS file_id, event_id AS row_no,
-         CASE WHEN event_id % 5 = 0 THEN strftime(ts, '%d/%m/%Y')
+  SELECT CASE WHEN user_id % 30 <> 7 THEN user_id END AS file_id, event_id AS row_no,
+         CASE WHEN event_id % 5 = 0 THEN CASE event_id % 4 WHEN 0 THEN strftime(ts, '%d/%m/%Y')
+                WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%d-%m-%y')
+                ELSE strftime(ts, '%d.%m.%Y') END
               WHEN event_id % 5 = 1 THEN '   ' END AS "Data",
          CASE WHEN event_id % 7 = 3 THEN NULL
               ELSE ' OP-' || CAST(user_id % 20 AS VARCHAR) || chr(160) END AS "Operador",
@@ -180,9 +186,10 @@ FLIGHTS_IMPORTED = f"""flights_imported AS (
 
 NOTES = """notes AS (
   SELECT doc_id AS note_id, DATE '2025-01-01' + CAST(doc_id % 400 AS INTEGER) AS flight_date,
-         source AS operator, 'FIXO' AS shift_type, CAST(0 AS DOUBLE) AS routes,
+         CASE WHEN doc_id % 23 <> 0 THEN source END AS operator, 'FIXO' AS shift_type, CAST(0 AS DOUBLE) AS routes,
          CAST(0 AS DOUBLE) AS flights,
-         text AS notes
+         CASE WHEN doc_id % 17 <> 0 THEN text || CASE doc_id % 11 WHEN 3 THEN ' Chuva forte' WHEN 4 THEN ' hélice quebrada'
+                WHEN 5 THEN ' falta' WHEN 6 THEN ' fogos' ELSE '' END END AS notes
   FROM documents)"""
 
 VIEWS = {

@@ -1,8 +1,9 @@
 """Sources and sinks (CSV, delimiter sniffing, tables, snapshots)."""
 
-from .readers import (read_csv, read_delimited, read_first, read_parquet, read_table,
-                      read_upload, sniff_delimiter, spread)
+from .readers import (header_lines, read_csv, read_delimited, read_first, read_parquet, read_table,
+                      read_upload, sniff_delimiter, sniff_header)
 from .sinks import append_table, export_report, replace_table, report_lines, snapshot, write_csv
 
-__all__ = ["read_csv", "read_parquet", "spread", "read_delimited", "read_first", "read_table", "read_upload", "sniff_delimiter",
-           "append_table", "export_report", "replace_table", "report_lines", "snapshot", "write_csv"]
+__all__ = ["header_lines", "read_csv", "read_parquet", "read_delimited", "read_first", "read_table", "read_upload",
+           "sniff_delimiter", "sniff_header", "append_table", "export_report", "replace_table", "report_lines",
+           "snapshot", "write_csv"]

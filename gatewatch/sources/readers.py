@@ -2,22 +2,27 @@
 a first-available fallback chain.
 
 Spreadsheet uploads are read from their CSV export (one directory per
-import); everything is read with explicit all-text schemas and cleaned by
-expressions, never with schema inference.
+import). Every file is read by its own header: delimiter and column order may
+differ from file to file, and columns are matched by name. All fields are text
+and cleaned by expressions, never with schema inference.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Delimiters tried in order when sniffing a header line.
 DELIMITERS = [";", ",", "\t", "|"]
 
 
-def _csv(spark: SparkSession, sep: str = ","):
+def _reader(spark: SparkSession, sep: str):
     return (spark.read.option("header", True)
             .option("multiLine", True)   # notes hold quoted newlines
             .option("quote", '"').option("escape", '"')
@@ -26,68 +31,104 @@ def _csv(spark: SparkSession, sep: str = ","):
             .option("mode", "PERMISSIVE"))
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when the input has fewer splits than the
-    cluster has cores (e.g. one un-splittable file feeding CPU-heavy parsing).
+def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Parquet with pushdown and pruning."""
+    return spark.read.parquet(*([path] if isinstance(path, str) else list(path)))
 
-    Counting input splits only plans the scan (file listing, no job). On
-    large inputs, which already have many splits, this is a no-op, so no
-    extra shuffle is added where it would cost the most.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session has no RDD view: leave as is
-        return df
-    return df.repartition(target) if splits < target else df
 
+def header_lines(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """The files of an import by their header line (the first line of a file).
 
-def read_parquet(spark: SparkSession, path: str | Sequence[str], parallel: bool = True) -> DataFrame:
-    """Parquet with pushdown and pruning; spread over all cores when the
-    files give too few splits."""
-    df = spark.read.parquet(*([path] if isinstance(path, str) else list(path)))
-    return spread(df) if parallel else df
+    One aggregation over the lines; what comes to the driver is one line for
+    each distinct header and the names of the files, which the driver lists
+    for the scan anyway. Empty files have no header and hold no record.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("n"))
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "n")).alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return {r.header.lstrip("﻿"): list(r.files) for r in sorted(found, key=lambda r: r.files[0])}
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
-             sep: str = ",", with_source: bool = False) -> DataFrame:
-    """Comma CSV with a header row and quoted multi-line fields.
+def split_header(line: str, sep: str) -> list[str]:
+    return next(csv.reader([line], delimiter=sep), [])
 
-    With ``schema`` the header names are replaced by the schema's; without
-    it every column is read as text. A multi-line CSV file is not
-    splittable, so an import is expected as many files in one directory.
-    ``with_source`` adds ``source_file`` (for per-file forward fill).
-    """
-    reader = _csv(spark, sep)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
-    if with_source:
-        from pyspark.sql import functions as F
-        df = df.withColumn("source_file", F.col("_metadata.file_path"))
-    return df
+
+def sniff_header(line: str) -> str:
+    """The first delimiter that splits a header line into two columns or more."""
+    return next((d for d in DELIMITERS if len(split_header(line, d)) >= 2), ",")
 
 
 def sniff_delimiter(spark: SparkSession, path: str | Sequence[str]) -> str:
-    """The first delimiter that splits the header into >= 2 columns.
+    """The delimiter of an import whose files agree on it."""
+    found = {sniff_header(h) for h in header_lines(spark, path)}
+    if len(found) > 1:
+        raise ValueError(f"the files of {path} use several delimiters: {sorted(found)}")
+    return found.pop() if found else ","
+
+
+def _layout(spark: SparkSession, line: str, files: list[str], sep: str | None,
+            expected: Sequence[str] | None, key: Callable[[str], str], with_source: bool) -> DataFrame:
+    """The files of one header, their columns by name."""
+    sep = sep or sniff_header(line)
+    names = split_header(line, sep)
+    at: dict[str, int] = {}
+    for k, name in enumerate(names):
+        at.setdefault(key(name), k)  # of equal names the first counts
+    raw = _reader(spark, sep).schema(T.StructType(
+        [T.StructField(f"_{k}", T.StringType()) for k in range(len(names))])).csv(files)
+    if expected is None:
+        cols = [F.col(f"_{k}").alias(n) for n, k in at.items()]
+    else:
+        if not any(key(c) in at for c in expected):
+            raise ValueError(f"none of the columns {list(expected)} is in the header {line!r} of {files[0]}")
+        cols = [(F.col(f"_{at[key(c)]}") if key(c) in at else F.lit(None).cast("string")).alias(c) for c in expected]
+    extra = [F.col("_metadata.file_path").alias("source_file")] if with_source else []
+    return raw.select(*cols, *extra)
+
+
+def _by_header(spark: SparkSession, path, sep, expected, key, with_source) -> DataFrame:
+    parts = [_layout(spark, h, files, sep, expected, key, with_source)
+             for h, files in header_lines(spark, path).items()]
+    if not parts:
+        names = [*(expected or []), *(["source_file"] if with_source else [])]
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def exact(name: str) -> str:
+    return name.strip()
+
+
+def upper(name: str) -> str:
+    """Headers as the audit module matches them."""
+    return name.strip().upper()
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
+             sep: str | None = ",", with_source: bool = False, key: Callable[[str], str] = exact) -> DataFrame:
+    """CSV with a header row and quoted multi-line fields, all text.
 
-    Only header metadata is read (the header line), no data pass.
+    With ``schema`` its columns are looked up in each file's header by name
+    (``key`` of it); a column that a file lacks is null, a file with none of
+    them is an error. Without it a file's own columns are read. ``sep=None``
+    sniffs the delimiter of each file. A multi-line CSV file is not
+    splittable, so an import is expected as many files in one directory.
+    ``with_source`` adds ``source_file`` (for per-file forward fill).
     """
-    for sep in DELIMITERS:
-        cols = _csv(spark, sep).option("multiLine", False).csv(path).columns
-        if len(cols) >= 2:
-            return sep
-    return ","
+    return _by_header(spark, path, sep, schema.names if schema is not None else None, key, with_source)
 
 
-def read_delimited(spark: SparkSession, path: str | Sequence[str], with_source: bool = False) -> DataFrame:
-    """CSV whose delimiter is ';', ',', tab or '|' (spreadsheet
-    exports); all columns as text."""
-    sep = sniff_delimiter(spark, path)
-    return read_csv(spark, path, sep=sep, with_source=with_source)
+def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
+                   with_source: bool = False, key: Callable[[str], str] = exact) -> DataFrame:
+    """CSV whose files use ';', ',', tab or '|', each its own
+    (spreadsheet exports)."""
+    return read_csv(spark, path, schema, None, with_source, key)
 
 
-def read_upload(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_upload(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
+                key: Callable[[str], str] = exact) -> DataFrame:
     """An import folder of spreadsheet exports, all text, with ``source_file``
     and ``row_no`` (row order within its file) for file-order operations such
     as filling merged cells.
@@ -95,8 +136,7 @@ def read_upload(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     A multi-line CSV file is read by one task, in file order, so the
     partition-local ids increase with the row order inside each file.
     """
-    from pyspark.sql import functions as F
-    df = read_delimited(spark, path, with_source=True)
+    df = read_delimited(spark, path, schema, True, key)
     return df.withColumn("row_no", F.monotonically_increasing_id())
 
 
@@ -117,12 +157,15 @@ def read_table(spark: SparkSession, name: str, fallback_first: bool = True) -> D
 
 def read_first(spark: SparkSession, readers: Sequence[Callable[[], DataFrame]],
                schema: T.StructType) -> DataFrame:
-    """The first source that reads and is not empty, else a typed empty
-    frame. ``isEmpty`` is a one-row probe, not a scan."""
+    """The first source that is there and not empty, else a typed empty
+    frame. ``isEmpty`` is a one-row probe, not a scan. A source is not there if
+    its path or table is not found; any other failure is raised."""
     for read in readers:
         try:
             df = read()
-        except Exception:  # noqa: BLE001 - an unavailable source just falls through
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             continue
         if df is not None and not df.isEmpty():
             return df

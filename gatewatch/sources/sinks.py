@@ -1,9 +1,9 @@
 """Sinks: CSV export, table replace / append, snapshots, report lines.
 
 Writes go through Spark's commit protocol, so a lost executor only retries
-its tasks and readers never see half-written output. Replacing a table that
-the plan itself reads is staged through the shared checkpoint folder
-(``spark.checkpoint.dir``), never a machine-local temp folder.
+its tasks and readers never see half-written output. A table is replaced by a
+finished copy that is moved into its place: the plan may read the table, its
+order is kept, and a job that fails leaves the table as it was.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import report_line
-from ..session import scratch_path
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -22,6 +21,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (df.write.mode(mode).option("header", True)
        .option("quote", '"').option("escape", '"').option("quoteAll", False)
        .option("dateFormat", "yyyy-MM-dd")
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)  # fields as they are
        .csv(path))
 
 
@@ -29,26 +29,55 @@ def _is_path(target: str) -> bool:
     return "/" in target or ":" in target
 
 
-def replace_table(df: DataFrame, target: str, staged: bool = True, fmt: str = "parquet") -> str:
-    """K2: overwrite ``target`` (catalog table or path) with ``df``.
+def replace_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:
+    """K2: ``df`` becomes the contents of ``target`` (catalog table or path).
 
-    ``staged`` first materialises ``df`` under the shared checkpoint folder,
-    which is required when ``df`` reads ``target`` (Spark refuses to
-    overwrite a path it is reading) and makes the swap a plain copy.
-    Returns the staging location ('' when not staged).
+    ``df`` may read ``target``. It is written once, beside the target, in its
+    own order; the finished copy is then moved into place and the old contents
+    are removed. If the job fails, the target is untouched; if the driver dies
+    between the two moves, both copies are still there under their own names.
     """
-    spark = df.sparkSession
-    source, where = df, ""
-    if staged:
-        where = scratch_path(spark, f"staging-{uuid.uuid4().hex}")
-        df.write.mode("overwrite").parquet(where)
-        source = spark.read.parquet(where)
-    writer = source.write.mode("overwrite").format(fmt)
+    mark = uuid.uuid4().hex[:12]
     if _is_path(target):
-        writer.save(target)
+        _replace_path(df, target.rstrip("/"), mark, fmt)
     else:
-        writer.saveAsTable(target)
-    return where
+        _replace_catalog_table(df, target, mark, fmt)
+
+
+def _replace_path(df: DataFrame, target: str, mark: str, fmt: str) -> None:
+    spark = df.sparkSession
+    new, old = f"{target}__new_{mark}", f"{target}__old_{mark}"
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.mode("errorifexists").format(fmt).save(new)
+        if store.exists(path(target)) and not store.rename(path(target), path(old)):
+            raise OSError(f"cannot move {target} aside")
+        if not store.rename(path(new), path(target)):
+            raise OSError(f"cannot move {new} to {target}")
+        store.delete(path(old), True)
+    except Exception:
+        if not store.exists(path(target)) and store.exists(path(old)):
+            store.rename(path(old), path(target))
+        store.delete(path(new), True)
+        raise
+    spark.catalog.refreshByPath(target)
+
+
+def _replace_catalog_table(df: DataFrame, target: str, mark: str, fmt: str) -> None:
+    spark = df.sparkSession
+    new, old = f"{target}__new_{mark}", f"{target}__old_{mark}"
+    try:
+        df.write.mode("errorifexists").format(fmt).saveAsTable(new)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    there = spark.catalog.tableExists(target)
+    if there:
+        spark.sql(f"ALTER TABLE {target} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {target}")
+    if there:
+        spark.sql(f"DROP TABLE {old}")
 
 
 def append_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:

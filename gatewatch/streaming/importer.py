@@ -1,25 +1,35 @@
 """Continuous import of uploaded files with Structured Streaming.
 
 The dashboard re-reads and merges every upload by hand; here a landing
-folder is watched instead. Each micro-batch is typed and cleaned by the
-same expressions as the batch path, deduplicated inside the batch, anti
-joined (null-safe, on all columns) against the stored table and appended.
-The result equals ``merge_import`` for a table that has no duplicates of
-its own, without rewriting the table per batch. Progress lives in the
-stream checkpoint, so a restarted query neither loses nor repeats files.
+folder is watched instead. The stream carries the names of new files, at most
+``max_files`` a micro-batch. A micro-batch reads its files as the batch import
+does (each by its own header, dates of merged cells filled in file order),
+drops copies, leaves out what the stored table already holds (null-safe, on
+all columns) and appends the rest. The result equals ``merge_import`` for a
+table that has no copies of its own, without rewriting the table. Rows without
+a valid date go to a table of rejects. Progress lives in the stream
+checkpoint, so a restarted query neither loses nor repeats files.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cleaning import clean_flights, type_audit
+from ..operators.cleaning import fill_dates, type_audit, type_flights
+from ..operators.filters import in_range
 from ..schemas import AUDIT_RAW, FLIGHT_RAW
+from ..session import checkpoint_dir
+from ..sources.readers import read_upload, upper
+
+#: What the file stream gives; the contents are not read by the stream itself.
+FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+                      T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
 def _same_row(left: DataFrame, right: DataFrame):
@@ -29,64 +39,71 @@ def _same_row(left: DataFrame, right: DataFrame):
 def _only_new(batch: DataFrame, table: DataFrame | None, date_col: str) -> DataFrame:
     """Rows of the micro-batch that the table does not hold yet.
 
-    Only the table's rows inside the batch's date range are considered (a
-    range predicate that reaches the Parquet scan), and they are matched
-    against the broadcast batch (bounded by the trigger size), so the stored
-    table is never shuffled. The final anti join is between two small sides.
+    Only stored rows in the batch's date range take part (a predicate that
+    reaches the Parquet scan); the planner picks the join by the sizes.
     """
     batch = batch.dropDuplicates()
     if table is None:
         return batch
-    lo = batch.select(F.min(date_col)).scalar()
-    hi = batch.select(F.max(date_col)).scalar()
-    in_range = table.where(F.col(date_col).between(lo, hi))
-    existing = in_range.join(F.broadcast(batch), _same_row(in_range, batch), "left_semi")
-    return batch.join(existing, _same_row(batch, existing), "left_anti")
+    near = table.where(in_range(table, batch, date_col))
+    return batch.join(near, _same_row(batch, near), "left_anti")
 
 
-def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet: first load
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None if nothing has been written there yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
+    return spark.read.parquet(path)
 
 
 def merge_batch(batch: DataFrame, target_path: str, date_col: str = "audit_date") -> None:
     """Append the rows of ``batch`` that ``target_path`` does not hold yet.
 
     Idempotent: a micro-batch replayed after a failure finds its rows
-    already stored and appends nothing. The (bounded) batch is persisted
-    because it is read by the range bounds, the broadcast and the anti join.
+    already stored and appends nothing.
     """
-    spark = batch.sparkSession
-    batch = batch.persist()
-    try:
-        new_rows = _only_new(batch, _table_or_none(spark, target_path), date_col)
-        new_rows.write.mode("append").parquet(target_path)
-    finally:
-        batch.unpersist()
+    table = _stored(batch.sparkSession, target_path)
+    _only_new(batch, table, date_col).write.mode("append").parquet(target_path)
+
+
+def read_batch(spark: SparkSession, paths: list[str], kind: str) -> tuple[DataFrame, str]:
+    """Typed rows of the files, undated ones included, and the date column."""
+    if kind == "audit":
+        return type_audit(read_upload(spark, paths, AUDIT_RAW, key=upper).drop("source_file", "row_no")), "audit_date"
+    raw = read_upload(spark, paths, FLIGHT_RAW)
+    return type_flights(fill_dates(raw, "row_no", "source_file")), "flight_date"
 
 
 def import_stream(spark: SparkSession, landing_dir: str, target_path: str,
                   checkpoint_location: str | None = None, kind: str = "audit",
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, max_files: int = 100,
+                  rejects_path: str | None = None) -> StreamingQuery:
     """Start the import query for ``kind`` 'audit' (pt-BR upload headers) or
-    'flights' (flight-log CSV)."""
-    schema = AUDIT_RAW if kind == "audit" else FLIGHT_RAW
-    raw = (spark.readStream.schema(schema)
-           .option("header", True).option("multiLine", True)
-           .option("quote", '"').option("escape", '"')
-           .csv(landing_dir))
-    if kind == "audit":
-        typed = type_audit(raw)
-        cleaned, date_col = typed.where(typed.audit_date.isNotNull()), "audit_date"
-    else:
-        cleaned, date_col = clean_flights(raw), "flight_date"
+    'flights' (flight-log CSV). Rejects go to ``rejects_path``, by default
+    beside the target. The default checkpoint belongs to this landing folder
+    and target alone."""
+    rejects_path = rejects_path or f"{target_path.rstrip('/')}__rejects"
+    files = (spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", max_files)
+             .load(landing_dir).select("path"))
     if checkpoint_location is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(target_path, "_stream")
-        checkpoint_location = os.path.join(base.rstrip("/"), f"import-{kind}")
-    writer = (cleaned.writeStream
-              .foreachBatch(lambda df, _epoch: merge_batch(df, target_path, date_col))
-              .option("checkpointLocation", checkpoint_location))
+        own = hashlib.sha256(f"{landing_dir}\n{target_path}\n{kind}".encode()).hexdigest()[:16]
+        checkpoint_location = f"{checkpoint_dir(spark).rstrip('/')}/import-{kind}-{own}"
+
+    def run(batch: DataFrame, _epoch: int) -> None:
+        paths = [r.path for r in batch.collect()]  # at most max_files names
+        if not paths:
+            return
+        typed, date_col = read_batch(batch.sparkSession, sorted(paths), kind)
+        typed = typed.persist()
+        try:
+            merge_batch(typed.where(F.col(date_col).isNotNull()), target_path, date_col)
+            lost = typed.where(F.col(date_col).isNull())
+            if not lost.isEmpty():
+                lost.withColumn("epoch", F.lit(_epoch)).write.mode("overwrite").parquet(f"{rejects_path}/batch={_epoch}")
+        finally:
+            typed.unpersist()
+
+    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -57,7 +57,18 @@ def test_typed_dates_pass_through(spark):
     df = spark.createDataFrame([(dt.date(2025, 1, 2), "A", "LML", 1.0, 2.0)],
                                "DATA date, TRANSPORTADORA string, `OPERAÇÃO` string, LIBERADOS double, MALHA double")
     r = C.type_audit(df).first()
-    assert r.audit_date == dt.date(2025, 1, 2) and r.total is None
+    assert r.audit_date == dt.date(2025, 1, 2) and r.total == 3.0
+
+
+def test_total_rule(spark):
+    rows = [("05/03/2025", "A", "LML", "12", "3", t) for t in ("20", None, " ", "x")]
+    assert [r.total for r in C.type_audit(spark.createDataFrame(rows, AUDIT_RAW)).collect()] == [20.0, 15.0, 15.0, 0.0]
+
+
+def test_forward_fill_of_rows_without_a_file(spark):
+    df = spark.createDataFrame([(None, i, "a" if i == 0 else None) for i in range(3)], "f string, n long, v string")
+    for block in (1, 2, 8):
+        assert [r.v for r in C.forward_fill(df, "v", "n", "f", block).orderBy("n").collect()] == ["a"] * 3
 
 
 def _naive_ffill(df, col, order, part):
@@ -86,7 +97,7 @@ def test_import_flights_fixture_b(spark):
         (2, "02/03/2025", None, "RESERVA", None, "0", "FALTA"),
         (3, "03/03/2025", "OP-2" + nb, "FIXO", "6", "3", "FOGOS"),
     ], "row_no long, Data string, Operador string, Tipo string, Rotas string, Voos string, Obs string")
-    got = sorted(tuple(r) for r in C.import_flights(raw, order_by="row_no").collect())
+    got = sorted(tuple(r) for r in C.import_flights(raw.withColumn("f", F.lit("one")), "row_no", "f").collect())
     assert got == [
         (dt.date(2025, 3, 1), "OP-1", "FIXO", 20.0, 8.0, None),
         (dt.date(2025, 3, 1), "OP-1", "FIXO ", 10.0, 4.0, "chuva forte"),
@@ -120,9 +131,12 @@ def test_period_label_p18(spark):
 
 def test_validate_records_p19_p20(spark):
     a = spark.createDataFrame([(dt.date(2025, 1, 1), "A", "LML", 2.0, 1.0), (dt.date(2025, 1, 1), "", "LML", 2.0, 1.0),
-                               (dt.date(2025, 1, 1), "B", "LML", -1.0, 1.0)],
+                               (dt.date(2025, 1, 1), "B", "LML", -1.0, 1.0), (dt.date(2025, 1, 1), "B", "NOPE", 1.0, 1.0),
+                               (dt.date(2025, 1, 1), "B", "LML", 1.5, 1.0), (dt.date(2025, 1, 1), "\u00a0", "LML", 1.0, 1.0),
+                               (dt.date(2025, 1, 1), None, "LML", 1.0, 1.0)],
                               "audit_date date, carrier string, operation string, released double, retained double")
-    assert [(r.total, r.is_valid) for r in C.validate_audit(a).collect()] == [(3.0, True), (3.0, False), (0.0, False)]
+    assert [(r.total, r.is_valid) for r in C.validate_audit(a).collect()] == [
+        (3.0, True), (3.0, False), (0.0, False), (2.0, False), (2.5, False), (2.0, False), (2.0, False)]
     f = spark.createDataFrame([(dt.date(2025, 1, 1), "OP", "FIXO", 1.0, 1.0), (dt.date(2025, 1, 1), "OP", "EXTRA", 1.0, 1.0)],
                               "flight_date date, operator string, shift_type string, routes double, flights double")
     assert [r.is_valid for r in C.validate_flight(f).collect()] == [True, False]

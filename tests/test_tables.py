@@ -1,6 +1,9 @@
 import datetime as dt
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from gatewatch.operators import tables as TB
 from gatewatch.operators.ordering import sort_for_save
 from gatewatch.schemas import FLIGHT_RAW
@@ -40,6 +43,130 @@ def test_apply_edits_u4_t19(spark):
     assert got == {"r1": (5.0, 1.0, 6.0), "r3": (3.0, 0.0, 3.0), "new-1": (2.0, 2.0, 4.0)}
 
 
+def test_edit_keeps_the_totals_of_untouched_rows(spark):
+    t = table(spark).withColumn("total", F.lit(None).cast("double"))
+    edited = t.where("carrier = 'B'").withColumn("released", F.lit(7.0))
+    from gatewatch.operators.metrics import audit_kpis
+    for scope in (F.col("carrier") == "B", t.where("carrier = 'B'")):
+        saved = TB.apply_edits(t, scope, edited)
+        assert {r.carrier: r.total for r in saved.collect()} == {"A": 1.0, "B": 8.0, "C": 3.0}
+        k = audit_kpis(saved).first()
+        assert (k.total, k.retention_rate) == (12, 8.33)
+    # rows that the predicate does not know stay
+    gaps = t.withColumn("carrier", F.when(F.col("carrier") != "A", F.col("carrier")))
+    assert TB.apply_edits(gaps, F.col("carrier") == "B", edited).count() == 3
+
+
+def test_import_after_an_edit_finds_its_rows(spark):
+    from gatewatch.operators.cleaning import clean_audit
+    from gatewatch.schemas import AUDIT_RAW
+    raw = spark.createDataFrame([(f"0{d}/03/2025", "ALFA", "LML", "4", "1", None) for d in (1, 2, 3)], AUDIT_RAW)
+    stored = TB.merge_import(None, clean_audit(raw))
+    day = F.col("audit_date") == D(2025, 3, 2)
+    saved = TB.apply_edits(stored, day, stored.where(day).withColumn("released", F.lit(9.0)))
+    for how in (None, "audit_date"):
+        assert TB.merge_import(saved, clean_audit(raw), how).count() == 4
+
+
+def test_merge_over_a_range(spark):
+    t = table(spark)
+    new = t.where("carrier = 'B'").unionByName(t.where("carrier = 'B'").withColumn("carrier", F.lit("Z")))
+    undated = t.limit(1).withColumn("audit_date", F.lit(None).cast("date"))
+    old = t.unionByName(undated)
+    want = sorted(map(str, TB.merge_import(old, new).collect()))
+    assert sorted(map(str, TB.merge_import(old, new, "audit_date").collect())) == want and len(want) == 5
+
+
+def test_fields_are_written_as_they_are_k1(spark, tmp_path):
+    rows = [("01/03/2025", "OP-1 ", "FIXO ", " 2", "1", "  nota  "), ("01/03/2025", "  ", "FIXO", "2", "1", " ")]
+    df = spark.createDataFrame(rows, FLIGHT_RAW)
+    write_csv(df, str(tmp_path / "padded"))
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "padded"), FLIGHT_RAW).collect())) == sorted(rows)
+
+
+HEADERS = {"DATA": "05/03/2025", "TRANSPORTADORA": "ALFA", "OPERAÇÃO": "LML", "LIBERADOS": "12", "MALHA": "3"}
+
+
+def test_columns_are_matched_by_name_s1_s2_s5(spark, tmp_path):
+    """One folder: other orders, other delimiters, stray blanks in a header, an
+    unknown column, no total; and an empty file."""
+    from gatewatch.operators.cleaning import type_audit
+    from gatewatch.schemas import AUDIT_RAW
+    from gatewatch.sources.readers import upper
+    folder = tmp_path / "in"
+    folder.mkdir()
+    orders = [list(HEADERS), list(HEADERS)[::-1], ["TRANSPORTADORA", "MALHA", "DATA", "LIBERADOS", "OPERAÇÃO"]]
+    for k, (names, sep) in enumerate(zip(orders, [",", ";", "\t"])):
+        (folder / f"{k}.csv").write_text(sep.join([f" {n.lower()} " if k == 2 else n for n in names] + ["EXTRA"]) + "\n"
+                                         + sep.join([HEADERS[n] for n in names] + ["?"]) + "\n", encoding="utf-8")
+    (folder / "empty.csv").write_text("")
+    got = type_audit(read_delimited(spark, str(folder), AUDIT_RAW, key=upper)).collect()
+    assert len(got) == 3 and {tuple(r) for r in got} == {(D(2025, 3, 5), "ALFA", "LML", 12.0, 3.0, 15.0)}
+    one = read_csv(spark, str(folder / "0.csv"), AUDIT_RAW).first()
+    assert (one.TRANSPORTADORA, one.LIBERADOS, one.MALHA, one["TOTAL TRANSPORTADORAS"]) == ("ALFA", "12", "3", None)
+
+
+def test_unknown_layout_is_an_error(spark, tmp_path):
+    from gatewatch.schemas import AUDIT_RAW
+    (tmp_path / "x.csv").write_text("foo,bar\n1,2\n")
+    with pytest.raises(ValueError, match="none of the columns"):
+        read_csv(spark, str(tmp_path / "x.csv"), AUDIT_RAW)
+
+
+def test_saved_order_survives_k2_o2(spark, tmp_path):
+    """Files of a replaced table hold ranges of dates that do not overlap."""
+    path = str(tmp_path / "ordered")
+    spark.range(4000).selectExpr("date_add(date'2020-01-01', cast(id * 7919 % 1500 as int)) AS audit_date",
+                                 "concat('c', id % 5) AS carrier").write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files for few rows
+    replace_table(sort_for_save(read_parquet(spark, path)), path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = read_parquet(spark, path).withColumn("file", F.col("_metadata.file_name"))
+    spans = back.groupBy("file").agg(F.min("audit_date").alias("a"), F.max("audit_date").alias("b")).orderBy("file").collect()
+    assert back.count() == 4000 and len(spans) > 1
+    assert all(x.b <= y.a for x, y in zip(spans, spans[1:]))
+    assert sorted(os.listdir(tmp_path)) == ["ordered"]  # nothing is left beside it
+
+
+def test_failed_replace_leaves_the_table_k2(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    table(spark).write.parquet(path)
+    broken = read_parquet(spark, path).withColumn("released", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        replace_table(broken, path)
+    assert read_parquet(spark, path).count() == 3 and sorted(os.listdir(tmp_path)) == ["kept"]
+
+
+def test_replace_catalog_table_k2(spark):
+    table(spark).write.mode("overwrite").saveAsTable("kept_table")
+    replace_table(spark.read.table("kept_table").where("carrier <> 'A'"), "kept_table")
+    assert spark.read.table("kept_table").count() == 2
+    assert [t.name for t in spark.catalog.listTables() if "kept_table" in t.name] == ["kept_table"]
+    spark.sql("DROP TABLE kept_table")
+
+
+def test_copies_keep_their_number_and_place_o2(spark):
+    t = table(spark)
+    many = t.unionByName(t).unionByName(t.where("carrier = 'C'"))
+    got = [r.carrier for r in sort_for_save(many).collect()]
+    assert got == ["A", "A", "B", "B", "C", "C", "C"]
+
+
+def test_detail_is_in_order_o1(spark):
+    from gatewatch.operators.ordering import detail
+    rows = [(D(2025, 1, d), c, "LML", float(r), 1.0) for d in (3, 1, 2) for c in ("B", None, "A") for r in (2, 1)]
+    df = spark.createDataFrame(rows, "audit_date date, carrier string, operation string, released double, retained double")
+    got = [(r.audit_date, r.carrier or "", r.released) for r in detail(df).collect()]
+    assert got == sorted(got)
+
+
+def test_other_failures_are_raised_s4(spark):
+    def broken():
+        raise RuntimeError("store is down")
+    with pytest.raises(RuntimeError):
+        read_first(spark, [broken], FLIGHT_RAW)
+
+
 def test_csv_round_trip_quotes_and_newlines_t1(spark, tmp_path):
     rows = [("01/03/2025", "OP-1", "FIXO", "20.0", "8.0", 'linha 1\nHÉLICE "quebrada", ok'),
             ("02/03/2025", "OP-2", "RESERVA", "1", "0", None)]
@@ -64,8 +191,8 @@ def test_read_delimited_sniffs_separator_s2(spark, tmp_path):
 def test_replace_append_snapshot_k2_k3_k4(spark, tmp_path):
     path = str(tmp_path / "tbl")
     table(spark).write.parquet(path)
-    current = read_parquet(spark, path, parallel=False)
-    # replacing a table from a plan that reads it goes through staging
+    current = read_parquet(spark, path)
+    # a table can be replaced by a plan that reads it
     replace_table(current.where("carrier <> 'A'"), path)
     assert spark.read.parquet(path).count() == 2
     append_table(table(spark).where("carrier = 'A'"), path)
