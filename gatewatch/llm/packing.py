@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from .common import documents, worker_memo, written
 from .tokens import tokenizer
 
-MEMO = 300_000
+#: Entries of the memo of segments; about 150 MB.
+MEMO = 700_000
+#: Letters below are in Latin blocks, which every version of Unicode has alike.
+LATIN_END = "\u0250"
 
 
 # --- ids ------------------------------------------------------------------
@@ -54,26 +58,79 @@ def _segments(text: str) -> list[str]:
     return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level models write each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Ids:
+    """Ids of segments, as the library gives them, in the worker's memo.
+
+    A segment of Latin letters is one word of the pattern, so the library's
+    model is asked for that word alone; one with a point or comma behind is
+    that word and the mark. Any other segment goes through the whole library.
+    """
+
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+        self.memo = worker_memo(f"ids-{path}", MEMO)
+        self.heads = worker_memo(f"heads-{path}", MEMO // 4)
+        self.letters = _byte_letters()
+        self.model = self.tok.model
+        self.marks = {m: self._encoded([m])[0] for m in ".,"}
+
+    def _encoded(self, segments: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and Latin letters."""
+        text = " " + word
+        return array("I", [t.id for t in self.model.tokenize(
+            "".join(map(self.letters.__getitem__, text.encode())))]).tobytes()
+
+    def learn(self, segments: set[str]) -> None:
+        memo, rest = self.memo, []
+        for s in segments:
+            if s in memo:
+                continue
+            if s.isalpha() and max(s) < LATIN_END:
+                memo[s] = self._word(s)
+            elif s[:-1].isalpha() and s[-1] in self.marks and max(s) < LATIN_END:
+                word = s[:-1]
+                if word not in memo:
+                    memo[word] = self._word(word)
+                memo[s] = memo[word] + self.marks[s[-1]]
+            elif not s or s[-1].isspace():
+                memo[s] = None  # the next segment may belong to it
+            else:
+                rest.append(s)
+        for low in range(0, len(rest), 4096):
+            part = rest[low:low + 4096]
+            memo.update(zip(part, self._encoded([" " + s for s in part])))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        new = list({s[0] for s in split}.difference(self.heads))
+        self.heads.update(zip(new, self._encoded(new)))
+        self.learn(set().union(*(s[1:] for s in split)).difference(self.memo))
+        out = []
+        for text, parts in zip(texts, split):
+            try:
+                if not parts[0] or parts[0][-1].isspace():
+                    raise TypeError
+                out.append(self.heads[parts[0]] + b"".join(map(self.memo.__getitem__, parts[1:])))
+            except TypeError:  # white space that does not stand by itself
+                first, *rest = _segments(text)
+                out.append(b"".join(self._encoded([first, *(" " + s for s in rest)])))
+        return out
+
+
 def ids_of(texts: list[str], path: str) -> list[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit numbers, as the
-    library gives them; segments are kept in the worker's memo."""
-    heads, memo = worker_memo(f"heads-{path}", MEMO // 4), worker_memo(f"ids-{path}", MEMO)
-    split = []
-    for t in texts:
-        parts = t.split(" ")
-        # nothing to mend unless a blank follows white space
-        split.append(parts if all(p and not p[-1].isspace() for p in parts[:-1]) else _segments(t))
-
-    def learn(keys: set[str], known: dict, lead: str) -> None:
-        new = list(keys.difference(known))
-        for low in range(0, len(new), 4096):
-            part = new[low:low + 4096]
-            for k, e in zip(part, tokenizer(path).encode_batch_fast([lead + k for k in part], add_special_tokens=False)):
-                known[k] = np.array(e.ids, "<u4").tobytes()
-
-    learn({s[0] for s in split}, heads, "")
-    learn(set().union(*(s[1:] for s in split)), memo, " ")
-    return [heads[s[0]] + b"".join(map(memo.__getitem__, s[1:])) for s in split]
+    library gives them."""
+    return Ids(path).of(texts)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -84,10 +141,11 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tokens = Ids(path)
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(ids_of(part["text"].to_pylist(), path)):
+                for k, ids in enumerate(tokens.of(part["text"].to_pylist())):
                     ids += end
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
