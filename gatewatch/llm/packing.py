@@ -239,10 +239,10 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, effor
             fill[give] -= net
             fill[take] += net
             changed = True
-        if not bins[give]:
-            alive -= 1
+        alive -= not bins[give]
+        if changed:  # what could not give before may be able to now
             stuck.clear()
-        elif not changed:
+        else:
             stuck.add(give)
     return [b for b in bins if b]
 
