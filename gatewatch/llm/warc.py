@@ -121,20 +121,23 @@ class _Shard:
 
 def _writer(folder: str, roll_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
+        shard, of = None, (None, None, None)
         for batch in batches:
             done = []
             for row in batch.to_pylist():
+                key = (row["shard"], row["page_id"], row["same"])
+                if row["refers_to"] is not None:  # says that the pages of this key are revisits
+                    of, refers_to = key, row["refers_to"]
+                    continue
                 if shard is None or row["shard"] != shard.shard:
                     if shard is not None:
                         shard.close()
                         done += shard.rows
                     shard = _Shard(folder, row["shard"], roll_bytes)
-                payload = (row["payload"] or "").encode()
-                digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
-                if row["refers_to"] is None and base32_sha1(payload) != digest:
-                    raise ValueError(f"payload of page {row['page_id']} does not fit its digest")
-                shard.add(record(row["page_id"], row["url"], payload, row["n_bytes"], digest, row["refers_to"], date))
+                payload = row["payload"].encode()
+                digest = base32_sha1(payload)
+                shard.add(record(row["page_id"], row["url"], payload, len(payload), digest,
+                                 refers_to if key == of else None, date))
             done += shard.rows if shard else []
             if shard:
                 shard.rows = []
@@ -193,16 +196,16 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     # only payloads that occur more than once, with the largest page id of each
     copied = facts.where(F.col("n_bytes") >= min_bytes).groupBy("same").agg(
         F.max("page_id").alias("largest"), F.count("*").alias("times")).where("times > 1 and largest is not null")
-    whole = rows.join(copied.select("same", "largest"), "same", "left")
-    refers = F.when(F.coalesce(F.col("page_id") < F.col("largest"), F.col("largest").isNotNull()), F.col("largest"))
-    whole = whole.withColumn("refers_to", refers)
-    whole = whole.select(  # a revisit goes without its payload
-        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "sha1", "n_bytes",
-        "refers_to")
+    # payloads are shuffled once, by shard; what each revisit refers to comes as
+    # a row of its own, which sorts before the pages of its key
+    refers = facts.join(copied.select("same", "largest"), "same").where(
+        F.coalesce(F.col("page_id") < F.col("largest"), F.lit(True))).select(
+        "page_id", "sha1", "same", F.col("largest").alias("refers_to")).distinct()
+    whole = rows.drop("n_bytes").unionByName(refers, allowMissingColumns=True)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema)
     placed = whole.mapInArrow(_placer(cuts), f"{types}, shard int")
     sorted_ = placed.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(
-        "shard", "page_id", "sha1", "url", "refers_to")
+        "shard", "page_id", "sha1", "same", F.col("refers_to").desc_nulls_last(), "url")
     store, path = _store(folder)
     store.create_dir(f"{path}/_tmp", recursive=True)
     done = written(sorted_.mapInArrow(
