@@ -22,53 +22,60 @@ _SERIAL = r"^[0-9]+([.][0-9]+)?$"
 
 
 def _day_first(text: Column) -> Column:
-    year = F.regexp_extract(text, DAY_FIRST, 3)
-    full = F.when(F.length(year) == 4, year).when(year >= PIVOT, F.concat(F.lit("19"), year)).otherwise(
-        F.concat(F.lit("20"), year))
-    day = F.concat_ws("-", full, F.regexp_extract(text, DAY_FIRST, 2), F.regexp_extract(text, DAY_FIRST, 1))
-    return F.when(text.rlike(DAY_FIRST), F.try_to_date(day, "yyyy-M-d"))
+    """Year, month and day change places; two-digit years get their century."""
+    day = F.regexp_replace(text, DAY_FIRST, "$3-$2-$1")
+    century = F.when(day >= PIVOT, F.lit("19")).otherwise(F.lit("20"))
+    full = F.when(F.substring(day, 3, 1) == "-", F.concat(century, day)).otherwise(day)
+    return F.when(text.rlike(DAY_FIRST), full.try_cast("date"))
 
 
 def _iso(text: Column) -> Column:
-    return F.when(text.rlike(_ISO), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    return F.when(text.rlike(_ISO), F.substring(text, 1, 10).try_cast("date"))
 
 
-def parse_date_br(c) -> Column:
-    """Day-first text ('d/M/yyyy', also with '-' or '.', two-digit years and a
-    time) or ISO text to date; anything else -> null."""
-    text = unicode_trim(col_of(c).cast("string"))
-    return F.coalesce(_day_first(text), _iso(text))
-
-
-def _robust(text: Column) -> Column:
-    serial_num = F.when(text.rlike(_SERIAL), text.try_cast("double"))
-    serial = F.when(
-        serial_num <= F.lit(_MAX_SERIAL),
+def _serial(text: Column) -> Column:
+    number = F.when(text.rlike(_SERIAL), text.try_cast("double"))
+    return F.when(
+        number <= F.lit(_MAX_SERIAL),
         F.to_date(F.timestamp_add(
-            "SECOND", F.round(serial_num * 86400).cast("long"),
+            "SECOND", F.round(number * 86400).cast("long"),
             F.lit(EXCEL_ORIGIN).cast("timestamp_ntz"))),
     )
-    return F.coalesce(_day_first(text), _iso(text), serial)
+
+
+def br_text(c) -> Column:
+    """What ``date_of_br_text`` reads."""
+    return unicode_trim(col_of(c).cast("string"))
+
+
+def robust_text(c) -> Column:
+    """What ``date_of_robust_text`` reads: trimmed, and the impossible '31/09'
+    made '30/09'."""
+    return F.replace(br_text(c), F.lit("31/09"), F.lit("30/09"))
+
+
+def date_of_br_text(text: Column) -> Column:
+    return F.coalesce(_day_first(text), _iso(text))
+
+
+def date_of_robust_text(text: Column) -> Column:
+    return F.coalesce(_day_first(text), _iso(text), _serial(text))
+
+
+def parse_date_br(c) -> Column:
+    """Day-first text ('d/M/yyyy', also with '-' or '.', two-digit years and a
+    time) or ISO text to date; anything else -> null."""
+    return date_of_br_text(br_text(c))
 
 
 def parse_date_robust(c) -> Column:
     """Audit dates as typed by people and spreadsheets.
 
     Trim, fix the impossible '31/09' to '30/09', then per row the first that
-    parses of: day-first text as in ``parse_date_br``, ISO 'yyyy-MM-dd[ time]', or a spreadsheet
-    serial (days since 1899-12-30, fraction = time of day).
+    parses of: day-first text as in ``parse_date_br``, ISO 'yyyy-MM-dd[ time]',
+    or a spreadsheet serial (days since 1899-12-30, fraction = time of day).
     """
-    text = F.replace(unicode_trim(col_of(c).cast("string")), F.lit("31/09"), F.lit("30/09"))
-    return _robust(text)
-
-
-def as_date(c, data_type=None) -> Column:
-    """Typed date columns pass through; text goes through the robust parser."""
-    from pyspark.sql import types as T
-    c = col_of(c)
-    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.to_date(c)
-    return parse_date_robust(c)
+    return date_of_robust_text(robust_text(c))
 
 
 def format_date_br(c) -> Column:

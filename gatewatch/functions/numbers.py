@@ -20,7 +20,12 @@ def _gated_double(text: Column) -> Column:
 
 def to_number_or_zero(c) -> Column:
     """Coerce to double; anything that is not a number becomes 0."""
-    return F.coalesce(_gated_double(unicode_trim(col_of(c).cast("string"))), F.lit(0.0))
+    return number_of_text(unicode_trim(col_of(c).cast("string")))
+
+
+def number_of_text(text: Column) -> Column:
+    """``to_number_or_zero`` of a text that is trimmed already."""
+    return F.coalesce(_gated_double(text), F.lit(0.0))
 
 
 def parse_number_br(c) -> Column:
@@ -29,7 +34,11 @@ def parse_number_br(c) -> Column:
     Dots are read as thousands separators only when the value has a comma or
     is a pure thousands pattern, so a plain '10.5' stays 10.5.
     """
-    text = unicode_trim(col_of(c).cast("string"))
+    return number_of_br_text(unicode_trim(col_of(c).cast("string")))
+
+
+def number_of_br_text(text: Column) -> Column:
+    """``parse_number_br`` of a text that is trimmed already."""
     br_style = text.contains(",") | text.rlike(_THOUSANDS)
     normalised = F.when(
         br_style, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))

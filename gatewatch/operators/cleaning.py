@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import (as_date, blank_to_null, clean_operator, format_date_br,
-                         label_int, label_pct, parse_date_br, parse_number_br,
-                         retention_rate, to_number_or_zero)
+from ..functions import (blank_to_null, clean_operator, format_date_br, label_int, label_pct,
+                         retention_rate)
+from ..functions.dates import br_text, date_of_br_text, date_of_robust_text, robust_text
+from ..functions.numbers import number_of_br_text, number_of_text
 from ..functions.text import normalize_header, parsed_once, unicode_trim
 from ..schemas import (AUDIT_COLUMNS, AUDIT_HEADERS, FLIGHT_COLUMNS, FLIGHT_HEADERS,
                        OPERATIONS, SHIFT_TYPES)
@@ -36,11 +37,13 @@ def select_expected(df: DataFrame, expected: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- audit
 
-def _audit_number(df: DataFrame, name: str) -> Column:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.StringType):
-        return parse_number_br(name)
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+DATED = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _trimmed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``columns`` of ``df`` behind a barrier: texts are trimmed once, and the
+    patterns that they are tried with see plain columns."""
+    return parsed_once(df.select(*[c.alias(n) for n, c in columns.items()]))
 
 
 def with_total(df: DataFrame) -> DataFrame:
@@ -55,24 +58,32 @@ def type_audit(raw: DataFrame) -> DataFrame:
     or blank total follows ``with_total``. Every text is parsed once, whatever
     is filtered on later."""
     df = normalize_headers(raw)
-    out = []
+    numbers = ("released", "retained", "total")
+    texts, out = {}, []
     for src, dst in AUDIT_HEADERS.items():
         if src not in df.columns:
-            if dst == "total":
-                out.append(F.lit(None).cast("double").alias(dst))
-                continue
-            raise ValueError(f"missing audit column {src}")
+            if dst != "total":
+                raise ValueError(f"missing audit column {src}")
+            out.append(F.lit(None).cast("double").alias(dst))
+            continue
+        kind, c = df.schema[src].dataType, F.col(dst)
         if dst == "audit_date":
-            out.append(as_date(src, df.schema[src].dataType).alias(dst))
-        elif dst == "total":
-            given = blank_to_null(F.col(src).cast("string")).isNotNull()
-            out.append(F.when(given, _audit_number(df, src)).alias(dst))
-        elif dst in ("released", "retained"):
-            out.append(_audit_number(df, src).alias(dst))
+            texts[dst] = F.to_date(src) if isinstance(kind, DATED) else robust_text(src)
+            out.append(c if isinstance(kind, DATED) else date_of_robust_text(c).alias(dst))
+        elif dst in numbers:
+            text = isinstance(kind, T.StringType)
+            texts[dst] = unicode_trim(src) if text else F.col(src).cast("double")
+            value = number_of_br_text(c) if text else F.coalesce(c, F.lit(0.0))
+            # a total that is not given is left to the rule for totals
+            given = (c != "") if text else c.isNotNull()
+            out.append((F.when(given, value) if dst == "total" else value).alias(dst))
         else:
-            out.append(F.col(src).cast("string").alias(dst))
-    extra = [F.col(c).alias("row_id") for c in ("ROW_ID",) if c in df.columns]
-    return parsed_once(with_total(df.select(*out, *extra)))
+            texts[dst] = F.col(src).cast("string")
+            out.append(c)
+    if "ROW_ID" in df.columns:
+        texts["row_id"] = F.col("ROW_ID")
+        out.append(F.col("row_id"))
+    return parsed_once(with_total(_trimmed(df, texts).select(*out)))
 
 
 def split_invalid(typed: DataFrame, date_col: str = "audit_date") -> tuple[DataFrame, DataFrame]:
@@ -139,21 +150,24 @@ def forward_fill(df: DataFrame, column: str, order_by: str,
 
 def type_flights(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Raw flight records (exact headers) -> typed columns; undated kept."""
-    cols = []
+    texts, out = {}, []
     for src, dst in FLIGHT_HEADERS.items():
+        c = F.col(dst)
         if dst == "flight_date":
-            dtype = raw.schema[src].dataType
-            if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-                cols.append(F.to_date(src).alias(dst))
-            else:
-                cols.append(parse_date_br(src).alias(dst))
+            dated = isinstance(raw.schema[src].dataType, DATED)
+            texts[dst] = F.to_date(src) if dated else br_text(src)
+            out.append(c if dated else date_of_br_text(c).alias(dst))
         elif dst == "operator":
-            cols.append(clean_operator(src).alias(dst))
+            texts[dst] = clean_operator(src)
+            out.append(c)
         elif dst in ("routes", "flights"):
-            cols.append(to_number_or_zero(src).alias(dst))
+            texts[dst] = unicode_trim(F.col(src).cast("string"))
+            out.append(number_of_text(c).alias(dst))
         else:
-            cols.append(F.col(src).cast("string").alias(dst))
-    return parsed_once(raw.select(*cols, *keep))
+            texts[dst] = F.col(src).cast("string")
+            out.append(c)
+    texts |= {k: F.col(k) for k in keep}
+    return parsed_once(_trimmed(raw, texts).select(*out, *keep))
 
 
 def fill_dates(raw: DataFrame, order_by: str, file_col: str, block_size: int = 1 << 20) -> DataFrame:

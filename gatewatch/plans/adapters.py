@@ -24,9 +24,17 @@ from ..operators.cleaning import type_audit
 from ..sources.readers import read_table
 
 
+#: Session setting by which a caller deals the input rows to so many tasks.
+INPUT_PARTITIONS = "spark.gatewatch.inputPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table."""
-    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
+    """A test table. Only if the caller sets ``INPUT_PARTITIONS`` (the bench
+    does, as the tables are single files that do not split), rows are dealt
+    out to that many tasks."""
+    df = read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
+    wanted = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:

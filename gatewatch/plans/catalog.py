@@ -8,6 +8,7 @@ dashboard's widget values would be. Aggregating queries use the default
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,6 +22,7 @@ from ..operators import filters as FL
 from ..operators import metrics as M
 from ..operators import ordering as O
 from ..operators import tables as TB
+from ..session import scratch_path
 from . import adapters as AD
 from . import io_queries as IO
 from . import oracle as Q
@@ -307,9 +309,11 @@ def _q_select_expected(spark, sf):
 
 
 def _reimport(spark, sf):
-    cleaned = C.clean_audit(AD.audit_raw(spark, sf))
-    again = FL.filter_audit(cleaned, start="1998-01-01", end="1998-12-31")
-    return cleaned, again
+    """The stored table after a first import, and an import of part of it."""
+    path = scratch_path(spark, f"stored-audit-{uuid.uuid4().hex}")
+    C.clean_audit(AD.audit_raw(spark, sf)).write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored, FL.filter_audit(stored, start="1998-01-01", end="1998-12-31")
 
 
 def _q_merge_import(spark, sf):
@@ -344,8 +348,7 @@ _REIMPORT_CTE = "again AS (SELECT * FROM audit_typed WHERE audit_date IS NOT NUL
 
 
 def _q_append(spark, sf):
-    cleaned = C.clean_audit(AD.audit_raw(spark, sf))
-    return TB.append(cleaned, FL.filter_audit(cleaned, start="1998-01-01", end="1998-12-31"))
+    return TB.append(*_reimport(spark, sf))
 
 
 # ---------------------------------------------------------------- flight queries
