@@ -16,9 +16,10 @@ of the block after them as many documents; the document that crosses the line
 stays out. A row's place comes from its id and from where it stands in the input, so repeated
 rows have places of their own. The budget is met from below to within a document for each source.
 
-Only sums for blocks are ordered by source; documents are ordered inside the
-one block of a source that the line goes through. So a source with a third of
-all rows is spread over its blocks.
+Only sums for blocks are ordered by source, and documents only inside the one
+block of a source that the line goes through, so a source with a third of all
+rows is no hot spot. What comes out is one line for each source; the documents
+are then taken or left where they are, and texts are never shuffled.
 
 ``budget_tokens=None`` takes the least budget by which every source is given
 whole at least once, so no document is lost.
@@ -128,34 +129,38 @@ def mix(docs: DataFrame, source_col: str = "source", tokens: Column | None = Non
     kind = docs.schema[source_col].dataType.simpleString()
     plans = spark.createDataFrame([plan(r, w) for r, w in zip(per_source, shares)],
                                   f"__source {kind}, __whole int, __rest long, __blocks long")
-    rows = rows.join(plans, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(seed + 1), "__at"), F.col("__blocks")))
+
+    def placed(table: DataFrame, plan: DataFrame) -> DataFrame:
+        """With the plan of each row's source (a row for each source) and the row's block."""
+        return table.join(plan, F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).withColumn(
+            "block", F.pmod(F.xxhash64(F.lit(seed + 1), "__at"), F.col("__blocks")))
 
     def position(epoch: Column) -> Column:
         return F.xxhash64(F.lit(seed + 2), epoch, F.col("block"))
 
-    # the last epoch: how far each block, in its order, is from the budget
-    blocks = rows.where("__rest > 0").groupBy("__source", "__whole", "__rest", "block").agg(
-        F.sum("n_tokens").alias("held"))
-    order = Window.partitionBy("__source").orderBy("place", "block")
-    blocks = blocks.withColumn("place", position(F.col("__whole"))).withColumn(
-        "before", F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    blocks = blocks.where(F.col("before") < F.col("__rest")).select(
-        F.col("__source").alias("s"), F.col("block").alias("b"), "held",
-        (F.col("__rest") - F.col("before")).alias("room"))
-    last = rows.join(blocks, F.col("__source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    fit = last.where("held <= room").drop("s", "b", "held", "room")
-    inside = Window.partitionBy("__source", "block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    # the line goes through one block of each source
-    line = last.where("held > room").select("__source", "block", "__at", "n_tokens", "room")
-    line = line.withColumn("upto", F.sum("n_tokens").over(inside)).where("upto <= room").select(
-        F.col("__source").alias("s"), F.col("block").alias("b"), F.col("__at").alias("h"))
-    part = rows.join(line, F.col("__source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (
-        F.col("__at") == F.col("h")), "left_semi")
-    last = fit.unionByName(part).withColumn("epoch", F.col("__whole"))
-    full = rows.where("__whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__whole") - 1)))
-    return full.unionByName(last).withColumn("position", position(F.col("epoch"))).select(
-        *[f"`{c}`" for c in names], *own)
+    # the last epoch goes up to one block of each source, and to one place in it
+    light = placed(rows.select(F.col(f"`{source_col}`"), "n_tokens", "__at"), plans).where("__rest > 0")
+    blocks = light.groupBy("__source", "__whole", "__rest", "block").agg(F.sum("n_tokens").alias("held"))
+    order = Window.partitionBy("__source").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("place", position(F.col("__whole"))).withColumn("upto", F.sum("held").over(order))
+    line = blocks.where(F.col("upto") > F.col("__rest")).groupBy("__source").agg(
+        F.min(F.struct("place", "block", (F.col("__rest") - (F.col("upto") - F.col("held"))).alias("room"))).alias("line"))
+    line = line.select(F.col("__source").alias("s"), "line.*").withColumnRenamed("block", "b")
+    inside = Window.partitionBy("__source", "block").orderBy("__at")  # rows of one place go together
+    cut = light.join(line, F.col("__source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn(
+        "upto", F.sum("n_tokens").over(inside)).where("upto <= room")
+    cut = cut.groupBy(F.col("__source").alias("cut_s")).agg(F.max("__at").alias("cut_at"))
+    ends = plans.join(line, F.col("__source").eqNullSafe(F.col("s")), "left").join(
+        cut, F.col("__source").eqNullSafe(F.col("cut_s")), "left")
+    ends = written(ends.select("__source", "__whole", "__blocks", "place", "b", "cut_at"), "mixture")
+
+    out = placed(rows, ends)
+    here, line_at = F.struct(position(F.col("__whole")), F.col("block")), F.struct("place", "b")
+    last = F.col("place").isNotNull() & (
+        (here < line_at) | ((F.col("block") == F.col("b")) & F.coalesce(F.col("__at") <= F.col("cut_at"), F.lit(False))))
+    n = F.col("__whole") + F.when(last, 1).otherwise(0)
+    out = out.withColumn("epoch", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    return out.withColumn("position", position(F.col("epoch"))).select(*[f"`{c}`" for c in names], *own)
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
