@@ -171,4 +171,6 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of all epochs; every document at least once,
     those of small sources again, up to 1.5 times on the whole."""
-    return mix(docs, max_repeats=1.5).select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source",
+                       F.size(words(F.col("text"))).alias("n_words"))
+    return mix(rows, tokens=F.col("n_words"), max_repeats=1.5).select("row.*")

@@ -154,9 +154,11 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: kept documents, with the text that is left of them."""
-    found = judge(docs)
-    out = found.where("kept").withColumn("text", F.col("clean_text"))
+    """Pipeline stage: kept documents, with the text that is left of them.
+
+    Other columns go along as they are, whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+    new = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        new["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return judge(rows).where("kept").select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
