@@ -54,14 +54,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def worker_memo(name: str, limit: int) -> dict:
+def worker_memo(group: str, name: str, limit: int) -> dict:
     """A dictionary that lives as long as the Python worker does.
 
     It holds results that depend on the key alone. It is emptied when it has
-    more than ``limit`` entries, so its memory is bounded.
+    more than ``limit`` entries, and when the worker turns to another group
+    (another operator, tokenizer or model), so its memory is bounded however
+    long the worker lives.
     """
     store = sys.modules.setdefault("_gatewatch_worker", types.ModuleType("_gatewatch_worker"))
-    memo = store.__dict__.setdefault(name, {})
+    if store.__dict__.get("group") != group:
+        store.group, store.memos = group, {}
+    memo = store.memos.setdefault(name, {})
     if len(memo) > limit:
         memo.clear()
     return memo

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import documents, worker_memo, written
 from .tokens import tokenizer
 
-#: Entries of the memo of segments; about 150 MB.
-MEMO = 700_000
+#: Entries of the memo of segments; about 100 MB.
+MEMO = 450_000
 #: Letters below are in Latin blocks, which every version of Unicode has alike.
 LATIN_END = "\u0250"
 
@@ -75,8 +75,8 @@ class Ids:
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.memo = worker_memo(f"ids-{path}", MEMO)
-        self.heads = worker_memo(f"heads-{path}", MEMO // 4)
+        self.memo = worker_memo(f"ids-{path}", "segments", MEMO)
+        self.heads = worker_memo(f"ids-{path}", "heads", MEMO // 10)
         self.letters = _byte_letters()
         self.model = self.tok.model
         self.marks = {m: self._encoded([m])[0] for m in ".,"}

@@ -334,8 +334,8 @@ class Scanner:
 
     def __init__(self, field: Field, name: str):
         self.field = field
-        self.words: dict[bytes, list[int]] = worker_memo(f"secret-words-{name}", 400_000)
-        known = worker_memo(f"secret-pieces-{name}", 1 << 60)
+        self.words: dict[bytes, list[int]] = worker_memo(f"secrets-{name}", "words", 300_000)
+        known = worker_memo(f"secrets-{name}", "pieces", 1 << 60)
         if not self.words or "own" not in known:  # the words refer to the tables
             known.clear(), self.words.clear()
             known["at"], known["scores"] = {}, {}

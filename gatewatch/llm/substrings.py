@@ -72,7 +72,7 @@ def _codes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word, through the worker's memo."""
     import xxhash
 
-    memo = worker_memo("word-codes", 1_000_000)
+    memo = worker_memo("word-codes", "words", 500_000)
     for w in set(words).difference(memo):
         memo[w] = xxhash.xxh64_intdigest(w, 7)
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))

@@ -111,7 +111,7 @@ def _common(text: str, left: list, right: list, low: int, high: int) -> int | No
 
 def word_counts(texts: list[str], path: str) -> list[int]:
     """Token counts of texts, word by word through the worker's memo."""
-    memo = worker_memo(f"counts-{path}", MEMO)
+    memo = worker_memo(f"counts-{path}", "words", MEMO)
     split = [t.encode().split() for t in texts]
     new = list(set().union(*split).difference(memo)) if split else []
     for low in range(0, len(new), 8192):
