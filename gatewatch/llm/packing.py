@@ -8,7 +8,8 @@ itself: best fit, longest first, then a local search among underfull
 sequences. It moves a piece, exchanges one for one or two for one between two
 sequences whenever that raises the sum of squared fills, so the emptier ones
 drain until they are gone. It ends at the least number of sequences that the
-tokens allow, when nothing helps, or after ``effort`` pairs of sequences.
+tokens allow or when nothing helps: a sequence finds its partner by the tokens
+that the others can take, so no pair has to be left out.
 Sequences that are still less than ``open_below`` full are opened again and
 packed with those of other groups, level by level, while that helps.
 
@@ -187,73 +188,129 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_change(a: list[int], b: list[int], lengths: list[int], room: int, least: int) -> tuple[int, list[int], list[int]]:
-    """The largest net move of ``least`` to ``room`` tokens from bin a to bin b:
-    (net, items that leave a, items that leave b)."""
-    best = (least - 1, [], [])
-    one = {lengths[i]: [i] for i in a}
-    away = dict(one)
-    if len(a) > 1:
-        by = sorted(a, key=lambda i: lengths[i])[:48]
-        for x in range(len(by)):
-            for y in range(x):
-                away.setdefault(lengths[by[x]] + lengths[by[y]], [by[x], by[y]])
-    for n, items in one.items():  # move
-        if best[0] < n <= room:
-            best = (n, items, [])
-    back = {lengths[j]: j for j in b}
-    gone = np.array(sorted(away), np.int64)
-    for m, j in back.items():  # one or two for one
-        k = int(np.searchsorted(gone, room + m, "right")) - 1
-        if k >= 0 and gone[k] - m > best[0]:
-            best = (int(gone[k]) - m, away[int(gone[k])], [j])
-            if best[0] == room:
-                break
-    return best
-
-
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, effort: int) -> list[list[int]]:
+class _Partners:
+    """Bins by what they can take: ``least[u]`` is the shortest piece that a
+    bin gives back so that ``u`` tokens fit it (0 for a plain move), and
+    ``bins[u][piece]`` are the bins for which that holds."""
+
+    def __init__(self, capacity: int):
+        self.none = 2 * capacity  # longer than any two pieces
+        self.least = np.full(3 * capacity + 1, self.none, np.int64)
+        self.bins: list[dict[int, set[int]]] = [{} for _ in range(2 * capacity + 1)]
+
+    def add(self, b: int, room: int, pieces: dict[int, list[int]]) -> None:
+        for m in (0, *pieces):
+            self.bins[room + m].setdefault(m, set()).add(b)
+            self.least[room + m] = min(m, self.least[room + m])
+
+    def drop(self, b: int, room: int, pieces: dict[int, list[int]]) -> None:
+        for m in (0, *pieces):
+            at = self.bins[room + m]
+            at[m].discard(b)
+            if not at[m]:
+                del at[m]
+                if m == self.least[room + m]:
+                    self.least[room + m] = min(at, default=self.none)
+
+    def best(self, out: list[int], room: int) -> tuple[int, int, int] | None:
+        """(place in ``out``, u, piece that comes back) of the largest net move
+        from a bin with ``room`` left that may give ``out`` tokens.
+
+        A net move of d from a to b raises the squares if d > fill[a] - fill[b].
+        With s tokens going out, u - s is what b has left afterwards, which has
+        to be less than a had before: u from s to s + room - 1."""
+        low, width = self.least, 1
+        while 2 * width <= room:  # least of each stretch of that width
+            low, width = np.minimum(low[:-width], low[width:]), 2 * width
+        if width < room:
+            low = np.minimum(low[:len(low) - (room - width)], low[room - width:])
+        net = np.array(out) - low[out]
+        k = int(net.argmax())
+        if net[k] <= 0:
+            return None
+        u = out[k] + int(self.least[out[k]:out[k] + room].argmin())
+        return k, u, out[k] - int(net[k])
+
+
+def _may_leave(pieces: dict[int, list[int]]) -> dict[int, tuple[int, ...]]:
+    """The lengths of one or two pieces of a bin, by their sum."""
+    away: dict[int, tuple[int, ...]] = {n: (n,) for n in pieces}
+    lengths = list(pieces)
+    for x, n in enumerate(lengths):
+        for m in lengths[:x]:
+            away.setdefault(n + m, (n, m))
+        if len(pieces[n]) > 1:
+            away.setdefault(2 * n, (n, n))
+    return away
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, effort: int | None = None) -> list[list[int]]:
     """Moves and exchanges between underfull bins that raise the sum of squared
-    fills, emptiest bin first, until it is empty or nothing helps."""
+    fills, emptiest bin first, until the bins are the fewest that the lengths
+    allow or no bin can give anything to any other.
+
+    ``effort`` bounds the number of looks for a partner; none by default."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     least_bins = -(-sum(fill) // capacity)
-    alive = len(bins)
-    stuck: set[int] = set()
-    while alive > least_bins and effort > 0:
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        give = next((b for b in under if b not in stuck), None)
-        if give is None:
-            break
-        changed = False
-        for take in reversed(under):
-            if take == give or not bins[give] or effort <= 0:
-                continue
-            effort -= 1
-            room = capacity - fill[take]
-            # a net move of d raises the squares if d > fill[give] - fill[take]
-            net, out, back = _best_change(bins[give], bins[take], lengths, room, max(1, fill[give] - fill[take] + 1))
-            if not out:
+    alive = sum(f > 0 for f in fill)
+    if alive <= least_bins:
+        return [b for b in bins if b]
+    held: list[dict[int, list[int]]] = [{} for _ in bins]  # items by length
+    partners = _Partners(capacity)
+    for b, items in enumerate(bins):
+        for i in items:
+            held[b].setdefault(lengths[i], []).append(i)
+        if 0 < fill[b] < capacity:
+            partners.add(b, capacity - fill[b], held[b])
+
+    def hand(a: int, b: int, n: int) -> None:
+        """An item of length n goes from a to b."""
+        held[b].setdefault(n, []).append(held[a][n].pop())
+        if not held[a][n]:
+            del held[a][n]
+        fill[a] -= n
+        fill[b] += n
+
+    left = math.inf if effort is None else effort
+    changed = True
+    while changed and alive > least_bins and left > 0:
+        changed = False  # a round in which nothing changes has met all pairs as they are
+        for give in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b]):
+            if alive <= least_bins or left <= 0:
+                break
+            if fill[give] == capacity:
                 continue
-            bins[give] = [i for i in bins[give] if i not in out] + back
-            bins[take] = [i for i in bins[take] if i not in back] + out
-            fill[give] -= net
-            fill[take] += net
-            changed = True
-        alive -= not bins[give]
-        if changed:  # what could not give before may be able to now
-            stuck.clear()
-        else:
-            stuck.add(give)
-    return [b for b in bins if b]
+            partners.drop(give, capacity - fill[give], held[give])
+            while fill[give] and left > 0:
+                left -= 1
+                away = _may_leave(held[give])
+                found = partners.best(list(away), capacity - fill[give])
+                if found is None:
+                    break
+                k, u, back = found
+                take = next(iter(partners.bins[u][back]))
+                partners.drop(take, capacity - fill[take], held[take])
+                for n in list(away.values())[k]:
+                    hand(give, take, n)
+                if back:
+                    hand(take, give, back)
+                if fill[take] < capacity:
+                    partners.add(take, capacity - fill[take], held[take])
+                changed = True
+            if fill[give]:
+                partners.add(give, capacity - fill[give], held[give])
+            else:
+                alive -= 1
+    return [[i for items in b.values() for i in items] for b in held if b]
 
 
-def pack_group(lengths: list[int], capacity: int, effort: int = 20_000) -> list[list[int]]:
+def pack_group(lengths: list[int], capacity: int, effort: int | None = None) -> list[list[int]]:
     return local_search(best_fit(lengths, capacity), lengths, capacity, effort)
 
 
 # --- packing of a table ---------------------------------------------------
 
-def _packer(names: list[str], capacity: int, effort: int, level: int, open_below: float):
+def _packer(names: list[str], capacity: int, effort: int | None, level: int, open_below: float):
     """The function that packs one group of rows."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lengths = table["length"].to_pylist()
@@ -275,7 +332,7 @@ def _packer(names: list[str], capacity: int, effort: int, level: int, open_below
 
 
 def pack(items: DataFrame, capacity: int = 2048, group_rows: int = 8192, open_below: float = 0.97,
-         effort: int = 20_000) -> DataFrame:
+         effort: int | None = None) -> DataFrame:
     """``items`` (a column ``length`` of 1 to ``capacity``) with ``sequence_id``
     and ``offset``; other columns are passed on."""
     names = [c for c in items.columns if c not in ("sequence_id", "offset")]
