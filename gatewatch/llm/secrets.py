@@ -18,7 +18,8 @@ Training. The field is fitted to pieces around pattern matches and around
 other odd-looking pieces, by likelihood, on about ``sample_docs`` documents
 picked by a hash of the row, of which each gives ``windows_per_doc`` stretches
 at most; a few invented lines are added, so that a table without any secret
-gives a usable tagger too. Nothing else depends on the sample.
+gives a usable tagger too. A table with any text gives a sample, however many
+rows it has. Nothing else depends on the sample.
 
 Spans are in code points, end exclusive. A tagged span that overlaps a match of
 a pattern is left out, as the pattern already has it.
@@ -297,12 +298,17 @@ def _lse(x: np.ndarray) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=-2)) + top.squeeze(-2)
 
 
+#: Steps of the hash that picks documents; fine enough for any number of rows.
+GRAIN = 1 << 62
+
+
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 1500,
         windows_per_doc: int = 3, reach: int = 12) -> Field:
     """A field from a bounded sample of ``docs``."""
     part = min(1.0, sample_docs / max(1, docs.count()))
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
-        F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < int(part * 1_000_000)).select("text")
+    hashed = docs.select(F.col(text_col).alias("text"), F.pmod(
+        F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(GRAIN)).alias("place")).where("text <> ''")
+    bound = int(part * GRAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,8 +327,15 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
                 ("pieces", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("files", pa.list_(pa.string()))]))
 
-    rows = picked.mapInArrow(run, "pieces array<string>, tags array<int>, files array<string>")
-    got = rows.limit(2 * sample_docs * windows_per_doc).collect()
+    def sample(bound: int) -> list:
+        rows = hashed.where(F.col("place") < bound).select("text").mapInArrow(
+            run, "pieces array<string>, tags array<int>, files array<string>")
+        return rows.limit(2 * sample_docs * windows_per_doc).collect()
+
+    got = sample(bound)
+    if not got:  # a small sample, or many copies of a few rows: the first ones, if there are texts at all
+        first = hashed.where("text rlike '[^ \\\\x09-\\\\x0D]'").agg(F.min("place")).first()[0]
+        got = [] if first is None else sample(first + 1)
     examples = sorted((list(r.pieces), list(r.tags), list(r.files)) for r in got)
     return train(examples + [_line_example(x) for x in LINES] * 4)
 

@@ -83,6 +83,18 @@ def test_table(docs, no_docs, texts, spark):
     assert sum(len(r.spans) for r in got) == 3
 
 
+def test_sample_of_many_rows(spark, monkeypatch):
+    # one document of two millions is less than a millionth
+    monkeypatch.setattr(S, "train", lambda examples: examples)
+    invented = len(S.fit(spark.createDataFrame([], "doc_id long, text string")))
+    many = spark.range(2_000_000).select(F.col("id").alias("doc_id"), F.lit("a page of prose").alias("text"))
+    assert invented < len(S.fit(many, sample_docs=1))
+    copies = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("a page of prose").alias("text"))
+    assert invented < len(S.fit(copies, sample_docs=10)) <= invented + 60
+    blank = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(" \n").alias("text"))
+    assert len(S.fit(blank, sample_docs=10)) == invented
+
+
 def test_stage(docs, spark):
     out = S.mask_stage(spark, docs.withColumn("text", F.concat_ws(" ", "text", F.lit("token=abcdef99"))), "")
     assert out.columns == docs.columns and out.count() == docs.count()
