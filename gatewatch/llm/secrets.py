@@ -17,7 +17,9 @@ stretches between such pieces are decoded, which gives the same chain.
 Training. The field is fitted to pieces around pattern matches and around
 other odd-looking pieces, by likelihood, on about ``sample_docs`` documents
 picked by a hash of the row, of which each gives ``windows_per_doc`` stretches
-at most; a few invented lines are added, so that a table without any secret
+at most. A piece that may be a secret but that no pattern matched (codes after a
+key word, long runs of letters and digits) is neither: stretches end before it.
+Invented lines are added, a third of the sample's number, so that a table without any secret
 gives a usable tagger too. A table with any text gives a sample, however many
 rows it has. Nothing else depends on the sample.
 
@@ -31,9 +33,11 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -202,6 +206,31 @@ def gold(text: str) -> list[int]:
     return tags
 
 
+_SEPARATORS = {CLASSES.index(c) for c in ("=", ":", "quote")}
+_KEY, _WORDS = CLASSES.index("key"), {CLASSES.index(c) for c in ("key", "lower", "capital")}
+_RUN = re.compile(r"[A-Za-z0-9]{16,}")
+
+
+def unlabelled(pieces: list[str], tags: list[int]) -> set[int]:
+    """Places of pieces that no pattern matched but that may be secrets: what a
+    key word is set to, codes next to a key word, and long runs of letters and
+    digits. They are no examples of what lies outside."""
+    classes = [piece_class(p) for p in pieces]
+    out = set()
+    for k, p in enumerate(pieces):
+        if tags[k] != O or len(p) < 6:
+            continue
+        at = k - 1
+        while at >= 0 and classes[at] in _SEPARATORS:
+            at -= 1
+        given = 0 <= at < k - 1 and classes[at] == _KEY
+        near = classes[k] not in _WORDS and any(c == _KEY for c in classes[max(0, k - 4):k + 3])
+        odd = any(not run.isalpha() and not run.isdigit() for run in _RUN.findall(p))
+        if given or near or odd:
+            out.add(k)
+    return out
+
+
 #: Invented training lines, with the secret between ``<<`` and ``>>``.
 LINES = (
     "db_password: <<hunter2Zz91>>", "export API_KEY=<<Zx81kQ0pLmv72RtY>>", "Authorization: Bearer <<eyJ0eXAiOiJKV1Qi9x2>>",
@@ -212,6 +241,39 @@ LINES = (
 )
 
 
+def invented(n: int) -> list[str]:
+    """``LINES`` and, up to ``n``, variants: other key words, formats, secrets
+    and prose around them, and codes that are none. The same for a given n."""
+    rng = random.Random(5)
+    keys = ("db_password", "API_KEY", "client_secret", "pwd", "db_pwd", "private_key", "access_key", "credential",
+            "passwd", "token", "Bearer", "Authorization: Bearer")
+    formats = ("{}={}", "{}: {}", "{} = '{}'", '"{}": "{}"', "{} {}", "export {}={}", "--{} {}")
+    letters = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef",
+               "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789")
+    prose = "the house stood empty for many years and 12 people of it were paid in 2024 on page".split()
+
+    def some(kind: str, least: int, most: int) -> str:
+        while True:  # a secret with letters and digits
+            code = "".join(rng.choice(kind) for _ in range(rng.randint(least, most)))
+            if not code.isalpha() and not code.isdigit():
+                return code
+
+    def other() -> str:
+        hexa = letters[1]
+        return rng.choice((
+            "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)), f"{rng.choice(prose)}/{rng.choice(prose)}-{rng.randint(1, 9999)}",
+            f"v{rng.randint(1, 20)}.{rng.randint(0, 20)}", f"ref {some(letters[2], 4, 9)}", f"item {some(letters[3], 4, 12)}",
+            f"{rng.randint(2000, 2024)}-{rng.randint(1, 12):02}-03", f"the {rng.choice(keys[:10])} was {rng.choice(prose)}",
+            f"width={rng.randint(1, 2000)}", f"colour: {rng.choice(prose)}"))
+
+    out = list(LINES)
+    while len(out) < n:
+        around = [" ".join(rng.choice(prose) for _ in range(rng.randint(0, 8))) for _ in range(2)]
+        text = rng.choice(formats).format(rng.choice(keys), f"<<{some(rng.choice(letters), 10, 40)}>>") if rng.random() < 0.5 else other()
+        out.append(f"{around[0]} {text} {around[1]}".strip())
+    return out
+
+
 def _line_example(line: str) -> tuple[list[str], list[int], list[str]]:
     a, b = line.find("<<"), line.find(">>") - 2
     text = line.replace("<<", "").replace(">>", "")
@@ -318,11 +380,14 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
                 pieces, tags = _pieces(text), gold(text)
                 fs = file_features(text.encode().split(), text.encode().lower())
                 hits = [k for k, t in enumerate(tags) if t == B]
-                odd = [k for k, p in enumerate(pieces) if tags[k] == O and CLASSES[piece_class(p)] in (
+                unknown = unlabelled(pieces, tags)
+                edges = [-1, *sorted(unknown), len(pieces)]
+                odd = [k for k, p in enumerate(pieces) if tags[k] == O and k not in unknown and CLASSES[piece_class(p)] in (
                     "key", "digits", "hexlike", "code", "longcode", "=", ":", "upper")]
-                plain = [len(pieces) // 2] if pieces else []
+                plain = [k for k in [len(pieces) // 2] if k < len(pieces) and k not in unknown]
                 for k in (hits + odd[:1] + odd[len(odd) // 2:][:1] + plain)[:windows_per_doc]:
-                    a, b = max(0, k - reach), k + reach + 1
+                    at = bisect.bisect(edges, k)  # up to what is not labelled
+                    a, b = max(edges[at - 1] + 1, k - reach), min(edges[at], k + reach + 1)
                     out.append({"pieces": pieces[a:b], "tags": tags[a:b], "files": fs})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
                 ("pieces", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("files", pa.list_(pa.string()))]))
@@ -337,7 +402,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
         first = hashed.where("text rlike '[^ \\\\x09-\\\\x0D]'").agg(F.min("place")).first()[0]
         got = [] if first is None else sample(first + 1)
     examples = sorted((list(r.pieces), list(r.tags), list(r.files)) for r in got)
-    return train(examples + [_line_example(x) for x in LINES] * 4)
+    # a third as many invented lines, so that a large sample does not outvote them
+    return train(examples + [_line_example(x) for x in LINES] * 4 + [
+        _line_example(x) for x in invented(max(200, len(examples) // 3))])
 
 
 # --- scanning -------------------------------------------------------------

@@ -95,6 +95,52 @@ def test_sample_of_many_rows(spark, monkeypatch):
     assert len(S.fit(blank, sample_docs=10)) == invented
 
 
+def unknown_kinds(rng, n):
+    """Secrets by key words and in formats that the training lines don't have."""
+    out = []
+    for _ in range(n):
+        key = rng.choice(["smtp_passphrase", "auth", "vault_pass", "proxy_auth", "svc_auth", "master_passphrase"])
+        secret = "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQ") for _ in range(rng.randint(9, 30)))
+        secret = "7" + secret[:4] + "4" + secret[4:] + "9"
+        around = [" ".join(rng.choice(PROSE) for _ in range(12)) for _ in range(2)]
+        out.append(f"{around[0]} {rng.choice(['{} := <<{}>>', '[{}] <<{}>>', '<{}><<{}>>', '{} => <<{}>>', '{}|<<{}>>']).format(key, secret)} {around[1]}")
+    return out
+
+
+PROSE = [*"the river ran past a low house where nobody had lived since autumn and every window was shut".split(), "1998",
+         "No", "Mrs", "USA", "route66", "b12", "3rd"]
+
+
+def fitted_accuracy(fit, spark):
+    """(found, wrong, of) by the field that ``fit`` gives in a corpus where a third
+    of the documents holds such a secret, unlabelled."""
+    rng = random.Random(8)
+    clean = lambda x: x.replace("<<", "").replace(">>", "")
+    corpus = [clean(x) for x in unknown_kinds(rng, 200)]
+    corpus += [" ".join(rng.choice(PROSE) for _ in range(40)) for _ in range(400)]
+    field = fit(spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string"))
+    found = wrong = 0
+    scanner = S.Scanner(field, "fitted")
+    for x in unknown_kinds(rng, 200):
+        want = (x.find("<<"), x.find(">>") - 2)
+        got = {(a, b) for _, a, b in scanner.spans([clean(x)])[0]}
+        found, wrong = found + (want in got), wrong + len(got - {want})
+    for _ in range(200):
+        wrong += len(scanner.spans([" ".join(rng.choice(PROSE) for _ in range(40))])[0])
+    return found, wrong, 200
+
+
+def test_unlabelled_secrets_in_the_corpus_are_no_counterexamples(spark):
+    found, wrong, of = fitted_accuracy(S.fit, spark)
+    assert found >= 0.9 * of and wrong <= 0.05 * of, (found, wrong)
+
+
+def test_what_is_left_out_of_training():
+    text = "pwd = tr0ub4dor Bearer abc.def9xyz and password=abcdef12 and a long way down route66 in " + "aB3" * 8
+    pieces = S._pieces(text)
+    assert {pieces[k] for k in S.unlabelled(pieces, S.gold(text))} == {"tr0ub4dor", "def9xyz", "aB3" * 8}
+
+
 def test_stage(docs, spark):
     out = S.mask_stage(spark, docs.withColumn("text", F.concat_ws(" ", "text", F.lit("token=abcdef99"))), "")
     assert out.columns == docs.columns and out.count() == docs.count()
