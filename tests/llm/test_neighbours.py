@@ -38,6 +38,20 @@ def test_recall_and_scores(spark):
     assert [v for _, v, _ in sorted(got[5000])] == [7, 5001, 5002, 5003, 5004]  # ties go to smaller ids
 
 
+def test_recall_at_the_defaults(spark):
+    # two shards, each large enough that ``share`` and not ``least`` decides
+    x = np.random.default_rng(3).standard_normal((9500, 64)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in N.search(df, F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows)
+    hits = sum(len(got[q] & {v for v, _ in w}) for q, w in want.items())
+    print(f"recall {hits / (5 * len(want)):.4f}")
+    assert set(got) == set(want) and hits >= 0.9 * 5 * len(want)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), math.inf
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (50, []),
