@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lines import op11_line_dedup
 from .mixing import op8_mixture
 from .neighbours import op2_neighbours
 from .oracles import ORACLES
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixture": op8_mixture,
     "op9_warc": op9_warc,
     "op10_substrings": op10_substrings,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -61,9 +61,21 @@ SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM q
 """
 
+LINE_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+keys AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+judged AS (SELECT *, length(k) >= 10 AND min(doc_id) OVER (PARTITION BY k) < doc_id AS gone FROM keys)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op6_url_filter": URL_FILTER,
     "op7_line_quality": LINE_QUALITY,
     "op9_warc": WARC,
     "op10_substrings": SUBSTRINGS,
+    "op11_line_dedup": LINE_DEDUP,
 }
