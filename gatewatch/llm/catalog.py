@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .lines import op11_line_dedup
 from .mixing import op8_mixture
+from .negatives import op12_hard_negatives
 from .neighbours import op2_neighbours
 from .oracles import ORACLES
 from .packing import op1_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_substrings": op10_substrings,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
