@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import op13_conversation_repair
 from .lines import op11_line_dedup
 from .mixing import op8_mixture
 from .negatives import op12_hard_negatives
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_substrings": op10_substrings,
     "op11_line_dedup": op11_line_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

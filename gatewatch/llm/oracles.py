@@ -92,6 +92,71 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 3
 """
 
+#: Inserts and one edit of a turn: (from, to, symbol, cost, audit, inserted
+#: turns, kept or renamed: the role, null to keep the turn's own).
+_EDITS = """
+states(s, nxt, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+walks AS (SELECT s AS a, s, 0 AS n, CAST([] AS VARCHAR[]) AS made FROM states
+          UNION ALL SELECT s, nxt, 1, [role || ':'] FROM states
+          UNION ALL SELECT x.s, y.nxt, 2, [x.role || ':', y.role || ':'] FROM states x JOIN states y ON x.nxt = y.s),
+edits AS (
+  SELECT a, w.s AS b, 'D' AS edit, CAST(NULL AS VARCHAR) AS initial, 3 * n + 4 AS cost, n, made, CAST(NULL AS VARCHAR) AS role
+  FROM walks w
+  UNION ALL SELECT a, nxt, 'R', NULL, 3 * n + 3, n, made, role FROM walks w JOIN states USING (s)
+  UNION ALL SELECT a, k.t, 'K', k.i, 3 * n, n, made, NULL FROM walks w JOIN (
+    VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS k(s, i, t) USING (s))"""
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda crc, byte:
+    list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i:
+      CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END), 4294967295), 4294967295) % 20 AS what FROM c),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM summed, range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+turns AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         coalesce(lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) || substr(role, 1, 1)
+                  NOT IN ('su', 'ua', 'au'), false) AS illegal FROM numbered),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal, max(k) AS n
+  FROM turns GROUP BY conv_id),
+{_EDITS},
+path AS (
+  SELECT conv_id, 0 AS k, 0 AS s, {{cost: 0, audit: '', made: CAST([] AS VARCHAR[])}} AS best FROM facts
+  UNION ALL
+  SELECT p.conv_id, p.k + 1, e.b, min({{
+    cost: p.best.cost + e.cost + CASE WHEN t.fault = 'truncated' AND e.edit <> 'D' THEN 3 ELSE 0 END,
+    audit: p.best.audit || repeat('I', e.n) || e.edit,
+    made: list_concat(p.best.made, e.made, CASE WHEN e.edit = 'D' THEN [] ELSE [coalesce(e.role, t.role) || ':' || t.text] END)}})
+  FROM path p JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.k = p.k + 1
+  JOIN edits e ON e.a = p.s AND (e.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate'))
+    AND (e.initial IS NULL OR e.initial = substr(t.role, 1, 1))
+  GROUP BY p.conv_id, p.k, e.b),
+ended AS (
+  SELECT f.conv_id, min({{cost: p.best.cost + 3 * w.n, audit: p.best.audit || repeat('I', w.n),
+                          made: list_concat(p.best.made, w.made)}}) AS best
+  FROM facts f JOIN path p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.k = f.n
+  JOIN walks w ON w.a = p.s AND (w.s = 3 OR w.s = 0 AND w.n = 0) GROUP BY f.conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op6_url_filter": URL_FILTER,
     "op7_line_quality": LINE_QUALITY,
@@ -99,4 +164,5 @@ ORACLES: dict[str, str] = {
     "op10_substrings": SUBSTRINGS,
     "op11_line_dedup": LINE_DEDUP,
     "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }
