@@ -1,14 +1,15 @@
 """Rule-based classification of free-text notes.
 
 A note gets the first category (in rule order) having a keyword that is a
-substring of the upper-cased note; no word boundaries. Evaluated as one
-chained CASE expression of built-in functions; generated code shares the
-upper-cased note among the conditions.
+substring of the upper-cased note; no word boundaries. The note is upper-cased
+once and each category is one pattern of all its keywords, which passes over
+the note once, however many keywords there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,21 +28,48 @@ DEFAULT_RULES: Rules = (
 )
 
 
+def keyword_pattern(keywords: Iterable[str]) -> str:
+    """One pattern that finds any of the keywords, each taken literally.
+
+    Keywords are merged into a tree by their beginnings, so that a place in the
+    text is given up at the first character that begins none of them.
+    """
+    tree: dict = {}
+    for word in keywords:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        if "" in at:  # a keyword ends here; longer ones add nothing to a match
+            return ""
+        if len(at) == 1:
+            (c, below), = at.items()
+            return re.escape(c) + pattern(below)
+        return "(?:" + "|".join(re.escape(c) + pattern(below) for c, below in at.items()) + ")"
+
+    found = pattern(tree)
+    if not found or len(tree) == 1:
+        return found
+    return f"(?=[{''.join(map(re.escape, tree))}]){found}"
+
+
 def category_of(text, rules: Rules = DEFAULT_RULES) -> Column:
     """Category of the first matching rule, or null."""
     rules = [(c, kws) for c, kws in rules if kws]
     if not rules:
         return F.lit(None).cast("string")
 
-    upper = F.upper(col_of(text))
-    expr = None
-    for category, keywords in rules:
-        hit = None
-        for kw in keywords:
-            cond = upper.contains(kw.upper())
-            hit = cond if hit is None else (hit | cond)
-        expr = F.when(hit, F.lit(category)) if expr is None else expr.when(hit, F.lit(category))
-    return expr
+    def first(upper: Column) -> Column:
+        expr = None
+        for category, keywords in rules:
+            hit = upper.rlike(keyword_pattern(kw.upper() for kw in keywords))
+            expr = F.when(hit, F.lit(category)) if expr is None else expr.when(hit, F.lit(category))
+        return expr
+
+    # a lambda binds the upper-cased note once for all conditions
+    return F.element_at(F.transform(F.array(F.upper(col_of(text))), first), 1)
 
 
 def rules_sql_case(text_sql: str, rules: Rules = DEFAULT_RULES) -> str:

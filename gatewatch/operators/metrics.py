@@ -17,6 +17,7 @@ from ..functions import (category_of, label_decimal1, label_int, label_pct, rati
                          retention_rate, round_ratio_half_up)
 from ..functions.classify import DEFAULT_RULES, Rules
 from ..functions.rates import axis_limit, rate_band
+from ..functions.text import parsed_once
 from .cleaning import with_month_abbr, with_period, with_weekday
 from .filters import audit_predicate, in_range, last_days, month_of, previous_window
 
@@ -210,8 +211,10 @@ def efficiency(df: DataFrame) -> DataFrame:
 
 def with_category(df: DataFrame, rules: Rules = DEFAULT_RULES,
                   text_col: str = "notes") -> DataFrame:
-    """Category of each note (null note -> excluded upstream)."""
-    return df.withColumn("category", category_of(text_col, rules))
+    """Category of each note (null note -> excluded upstream).
+
+    Filters on the category read the column and do not classify again."""
+    return parsed_once(df.withColumn("category", category_of(text_col, rules)))
 
 
 def count_categories(df: DataFrame, rules: Rules = DEFAULT_RULES,

@@ -10,18 +10,28 @@ from .cleaning import with_retention
 from .metrics import with_category
 
 
+#: Copies of a row that are put back by one row of a task.
+CHUNK = 100_000
+
+
 def _sorted(df: DataFrame, *keys) -> DataFrame:
     """``df`` in the order of ``keys``, identical rows side by side.
 
     A range partitioner cannot split equal keys, and copies may hold a large
     share of the rows. So copies are counted first (with a partial step before
-    the shuffle), one row of each is sorted, and the copies are put back where
+    the shuffle) and their number is cut into chunks of at most ``CHUNK``. The
+    number of the chunk is the last sort key, so the chunks of one row spread
+    over as many ranges as they need, and each puts its own copies back where
     it landed. Nothing depends on the order in which a task sees its rows, so
     a task that runs again gives the same ranges.
     """
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return copies.orderBy(*keys).select(*[F.col(f"`{c}`") for c in df.columns], again.alias("_copy")).drop("_copy")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    n, chunk, zero = F.col("__copies"), F.col("__chunk"), F.lit(0).cast("long")
+    copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+    chunks = copies.select(*columns, n, F.explode(F.sequence(zero, F.expr(f"(__copies - 1) div {CHUNK}"))).alias("__chunk"))
+    own = F.least(F.lit(CHUNK).cast("long"), n - chunk * CHUNK)
+    back = F.explode(F.sequence(F.lit(1).cast("long"), own)).alias("__copy")
+    return chunks.orderBy(*keys, "__chunk").select(*columns, back).drop("__copy")
 
 
 def detail(df: DataFrame) -> DataFrame:
@@ -48,10 +58,14 @@ def sort_for_save(df: DataFrame, date_col: str = "audit_date") -> DataFrame:
 
 def occurrence_detail(df: DataFrame, rules: Rules = DEFAULT_RULES,
                       text_col: str = "notes", date_col: str = "flight_date") -> DataFrame:
-    """O3: date, operator, category, note of every categorised note, by date."""
+    """O3: date, operator, category, note of every categorised note, by date.
+
+    Within a category notes are in the order of a hash, so that no two long
+    notes are compared to sort them, unless they are the same.
+    """
     cat = with_category(df.where(F.col(text_col).isNotNull()), rules, text_col)
     found = cat.where(F.col("category").isNotNull()).select(date_col, "operator", "category", text_col)
-    return _sorted(found, date_col, "operator", "category", text_col)
+    return _sorted(found, date_col, "operator", "category", F.xxhash64(text_col), text_col)
 
 
 def preview(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:

@@ -255,3 +255,28 @@ def test_read_table_case_insensitive_s3(spark, tmp_path):
     path = str(tmp_path / "as_path")
     table(spark).write.parquet(path)
     assert read_table(spark, path).count() == 3
+
+
+def test_a_row_with_millions_of_copies_o2_u4(spark, monkeypatch):
+    """Copies of one row are put back by many tasks, in place."""
+    from pyspark.sql import functions as F
+
+    from gatewatch.operators import ordering as O
+    hot = spark.range(5_000_000, numPartitions=4).select(F.lit("2024-05-02").cast("date").alias("audit_date"), F.lit("A").alias("carrier"))
+    rest = spark.createDataFrame([("2024-05-01", "Z"), ("2024-05-02", "B"), ("2024-05-03", None), (None, "A")], "d string, carrier string")
+    df = hot.unionByName(rest.select(F.col("d").cast("date").alias("audit_date"), "carrier"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = O.sort_for_save(df)
+        per = out.groupBy(F.spark_partition_id().alias("p"), "audit_date", "carrier").count().collect()
+        assert sum(r["count"] for r in per) == 5_000_004
+        of_hot = [r["count"] for r in per if r.carrier == "A" and r.audit_date]
+        assert len(of_hot) == 4 and sum(of_hot) == 5_000_000 and max(of_hot) < 3_000_000
+        order = sorted(((r.p, r.audit_date is not None, str(r.audit_date), r.carrier or "") for r in per))
+        assert [x[1:] for x in order] == sorted(x[1:] for x in order)  # ranges follow each other
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(O, "CHUNK", 3)
+    few = spark.createDataFrame([("2024-01-01", "A")] * 10 + [("2024-01-01", "B")] * 3 + [("2023-01-01", "C")], "d string, carrier string")
+    got = [tuple(r) for r in O.sort_for_save(few, "d").collect()]
+    assert got == [("2023-01-01", "C")] + [("2024-01-01", "A")] * 10 + [("2024-01-01", "B")] * 3
