@@ -13,8 +13,8 @@ from ..operators import ordering as O
 from ..operators import tables as TB
 from ..schemas import AUDIT_RAW, FLIGHT_COLUMNS, FLIGHT_HEADERS, FLIGHT_RAW, FLIGHTS
 from ..session import scratch_path
-from ..sources import (append_table, export_report, read_csv, read_delimited, read_first, read_parquet, read_table,
-                       replace_table, report_lines, snapshot, write_csv)
+from ..sources import (append_table, drop_old_versions, export_report, read_csv, read_delimited, read_first, read_parquet,
+                       read_table, replace_table, report_lines, save_edits, snapshot, store_by_month, write_csv)
 from ..sources.readers import upper
 from . import adapters as AD
 
@@ -73,6 +73,42 @@ def _replace(spark, sf):
     return read_parquet(spark, path)
 
 
+def _versions(spark, sf):
+    """A versioned table, replaced twice by plans that read it; the first
+    version is gone afterwards."""
+    path = _new(spark, "versioned")
+    replace_table(AD.audit(spark, sf), path, versioned=True)
+    replace_table(read_table(spark, path).where("released > 0"), path)
+    replace_table(O.sort_for_save(read_table(spark, path).where("retained > 0")), path)
+    drop_old_versions(spark, path, keep=1, older_than=0)
+    return read_table(spark, path)
+
+
+#: A view of three months whose urgent rows are moved to other months, whose low
+#: ones are deleted, and whose other rows get one more retained.
+_SCOPE = "audit_date BETWEEN DATE '1997-03-01' AND DATE '1997-05-31' AND released > 0"
+
+
+def _edits_by_month(spark, sf):
+    path = _new(spark, "by-month")
+    store_by_month(AD.audit_with_ids(spark, sf), path)
+    urgent = F.col("operation") == "1-URGENT"
+    edited = read_table(spark, path).where(_SCOPE).where("operation <> '5-LOW'").withColumns({
+        "audit_date": F.when(urgent, F.date_add("audit_date", 400)).otherwise(F.col("audit_date")),
+        "retained": F.when(urgent, F.col("retained")).otherwise(F.col("retained") + 1)})
+    save_edits(spark, path, F.expr(_SCOPE), edited)
+    return read_table(spark, path)
+
+
+_EDITED = f"""
+SELECT audit_date, carrier, operation, released, retained, released + retained AS total, row_id
+FROM audit_ids WHERE NOT ({_SCOPE})
+UNION ALL SELECT CASE WHEN operation = '1-URGENT' THEN audit_date + 400 ELSE audit_date END, carrier, operation, released, r,
+       released + r, row_id
+FROM (SELECT *, CASE WHEN operation = '1-URGENT' THEN retained ELSE retained + 1 END AS r FROM audit_ids
+      WHERE ({_SCOPE}) AND operation <> '5-LOW')"""
+
+
 def _replace_import(spark, sf):
     """An import that replaces the stored flight log."""
     path = _new(spark, "log")
@@ -121,6 +157,9 @@ QUERIES = [
     ("io_spreadsheet_import", ("S5", "P1", "P10"), _spreadsheet, with_views(
         "SELECT * FROM audit_typed WHERE audit_date IS NOT NULL", "audit_typed")),
     ("io_replace_table", ("K2", "O2"), _replace, with_views("SELECT * FROM audit WHERE released > 0", "audit")),
+    ("io_versioned_replace", ("K2", "S3"), _versions, with_views(
+        "SELECT * FROM audit WHERE released > 0 AND retained > 0", "audit")),
+    ("io_edit_by_month", ("U4", "K2"), _edits_by_month, with_views(_EDITED, "audit_ids")),
     ("io_replace_import", ("U5", "K2"), _replace_import, with_views(
         f"SELECT {', '.join(FLIGHT_COLUMNS)} FROM flights_imported", "flights_imported")),
     ("io_append_table", ("K3",), _append, with_views(

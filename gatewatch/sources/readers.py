@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import is_versioned, read_version
+
 # Delimiters tried in order when sniffing a header line.
 DELIMITERS = [";", ",", "\t", "|"]
 
@@ -142,10 +144,10 @@ def read_upload(spark: SparkSession, path: str | Sequence[str], schema: T.Struct
 
 def read_table(spark: SparkSession, name: str, fallback_first: bool = True) -> DataFrame:
     """S3: a stored table by name (case-insensitive in the catalog); a path
-    is read as Parquet. With ``fallback_first`` an unknown name falls back
+    is read as Parquet, in its last version if it has versions. With ``fallback_first`` an unknown name falls back
     to the first table of the current database."""
     if "/" in name or name.startswith("file:"):
-        return spark.read.parquet(name)
+        return read_version(spark, name) if is_versioned(spark, name) else spark.read.parquet(name)
     if spark.catalog.tableExists(name):
         return spark.read.table(name)
     if fallback_first:

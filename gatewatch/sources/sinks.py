@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import report_line
+from ..operators.tables import apply_edits
+from . import versions as V
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -29,16 +31,22 @@ def _is_path(target: str) -> bool:
     return "/" in target or ":" in target
 
 
-def replace_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:
+def replace_table(df: DataFrame, target: str, fmt: str = "parquet", versioned: bool = False) -> None:
     """K2: ``df`` becomes the contents of ``target`` (catalog table or path).
 
+    A path that holds versions (``versions.py``), or is to hold them from now
+    on (``versioned``), gets a new one, which readers see all at once; it is
+    read by ``read_table``. Any other target is replaced as follows.
+
     ``df`` may read ``target``. It is written once, beside the target, in its
     own order; the finished copy is then moved into place and the old contents
     are removed. If the job fails, the target is untouched; if the driver dies
     between the two moves, both copies are still there under their own names.
     """
     mark = uuid.uuid4().hex[:12]
-    if _is_path(target):
+    if _is_path(target) and (versioned or V.is_versioned(df.sparkSession, target)):
+        V.write_version(df, target)
+    elif _is_path(target):
         _replace_path(df, target.rstrip("/"), mark, fmt)
     else:
         _replace_catalog_table(df, target, mark, fmt)
@@ -80,6 +88,37 @@ def _replace_catalog_table(df: DataFrame, target: str, mark: str, fmt: str) -> N
         spark.sql(f"DROP TABLE {old}")
 
 
+def store_by_month(df: DataFrame, path: str, date_col: str = "audit_date") -> None:
+    """K2: a versioned table with a folder for each month, for ``save_edits``."""
+    V.write_version(df, path, V.month_key(date_col))
+
+
+def save_edits(spark: SparkSession, path: str, scope: Column, edited: DataFrame,
+               date_col: str = "audit_date") -> list[str]:
+    """U4: saves the edits of a filtered view in a table stored by month.
+
+    Only the months that rows of the view or edited rows lie in are read,
+    edited (``tables.apply_edits``), sorted and written; all other files stay.
+    Rows of other months stay as they are stored, also those without a total.
+    Readers see all of the edit or none of it. Raises ``versions.Conflict`` if
+    the table was replaced since it was read. Gives the months.
+    """
+    held = V.contents(spark, path)
+    if held is None:
+        raise ValueError(f"{path} holds no version")
+    key = V.month_key(date_col)
+    dated = edited.where(F.col(date_col).isNotNull())  # others are dropped by the edit
+    seen = V.read_version(spark, path, held=held).where(scope)
+    months = sorted({*V.touched(seen, key), *V.touched(dated, key)})
+    if not months:
+        return []
+    table = V.read_version(spark, path, held=held, keys=months)
+    saved = apply_edits(table, scope, edited).select(*table.columns)
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in (date_col, *[c for c in saved.columns if c != date_col])]
+    V.write_partitions(saved, path, key, months, held, order)
+    return months
+
+
 def append_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:
     """K3: append records."""
     writer = df.write.mode("append").format(fmt)
