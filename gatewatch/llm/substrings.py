@@ -20,7 +20,8 @@ than ``crowd`` different blocks in a batch the rest go straight to the
 comparison of windows, under a key of their own. The texts are shuffled once,
 by id. No pair of documents is ever made, and nothing is left out.
 
-Windows and blocks are compared by 64-bit hashes of word hashes.
+Windows are compared by two independent 64-bit hashes of word hashes, blocks by
+their anchor and a 64-bit hash of all their windows.
 
 Edge cases: a null text has no words. A row with a null id keeps all its words
 and takes none from others. Rows with equal ids do not take words from each
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, worker_memo, written
+from .common import documents, slices, worker_memo, written
 
 #: Words that are worked on at once; bounds the memory of a task.
 STEP = 1 << 20
@@ -73,9 +74,9 @@ def _codes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     memo = worker_memo("word-codes", "words", 500_000)
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh64_intdigest(w, 7)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    for w in memo.missing(set(words)):
+        memo.new[w] = xxhash.xxh64_intdigest(w, 7)
+    return np.fromiter(map(memo.new.__getitem__, words), np.uint64, len(words))
 
 
 class Shape:
@@ -87,6 +88,10 @@ class Shape:
     def window_hashes(self, codes: np.ndarray) -> np.ndarray:
         return _windows(codes, self.length, 1)
 
+    def second_hashes(self, codes: np.ndarray) -> np.ndarray:
+        """Hashes of windows that know nothing of the first ones."""
+        return _windows(_mix(codes ^ np.uint64(0xA24BAED4963EE407)), self.length, 5)
+
     def blocks(self, codes: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         """(anchor, block, first window, windows) of the runs of valid windows.
 
@@ -106,7 +111,7 @@ class Shape:
         new[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, n))
-        block = self.block_hashes(self.window_hashes(codes), first, count)
+        block = self.block_hashes(self.second_hashes(codes), first, count)
         good = valid[first] >= 0
         return _mix(small[at[first]])[good], block[good], first[good], count[good]
 
@@ -204,32 +209,36 @@ def _open_windows(shape: Shape):
     """Windows of the blocks that are to be compared one by one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.compute.fill_null(pa.compute.list_value_length(batch["open"]), 0).cast(pa.bool_()))
-            for low in range(0, batch.num_rows, 512):
-                hashes, docs, starts = [], [], []
-                part = batch.slice(low, 512)
+            for part in slices(batch, "text", 512):
+                keys, seconds, docs, starts = [], [], [], []
                 for doc, text, entries in zip(part["id"].to_pylist(), part["text"], part["open"]):
-                    own = shape.window_hashes(_codes((text.as_py() or "").encode().split()))
-                    first, count = _entries(entries, own)
+                    codes = _codes((text.as_py() or "").encode().split())
+                    second = shape.second_hashes(codes)
+                    first, count = _entries(entries, second)
                     at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
-                    hashes.append(own[at]), docs.append(np.full(len(at), doc, np.int64)), starts.append(at)
-                if not docs or not sum(map(len, docs)):
+                    if len(at):
+                        keys.append(shape.window_hashes(codes)[at]), seconds.append(second[at])
+                        docs.append(np.full(len(at), doc, np.int64)), starts.append(at)
+                if not docs:
                     continue
-                key, doc, start = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-                repeated = doc > _least_of(key, doc)
-                check = key.view(np.int64) & 0x7FFFFFFF
+                key, second, doc, start = map(np.concatenate, (keys, seconds, docs, starts))
+                repeated = doc > _least_of(_mix(key) ^ second, doc)
                 key = np.where(repeated, _lone(doc, start), key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc), pa.array(start), pa.array(check), pa.array(repeated)],
-                    names=["key", "id", "start", "check", "repeated"])
+                    [pa.array(key.view(np.int64)), pa.array(second.view(np.int64)), pa.array(doc), pa.array(start),
+                     pa.array(repeated)], names=["key", "second", "id", "start", "repeated"])
 
     return run
 
 
+def _some(entries) -> bool:
+    return entries is not None and entries.is_valid and len(entries.values) > 0
+
+
 def _entries(entries, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First windows and counts of a row's entries; those of another text with
     the same id do not fit its hashes and are left out."""
-    if entries is None or not entries.is_valid or not len(entries.values):
+    if not _some(entries):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     info = entries.values.field("info").to_numpy()
     check = entries.values.field("check").to_numpy()
@@ -243,18 +252,17 @@ def _entries(entries, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _result(shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for part in slices(batch, "text", 1024):
                 total, gone, digest, spans = [], [], [], []
                 for text, flagged, single in zip(part["text"], part["flagged"], part["starts"]):
                     found = (text.as_py() or "").encode().split()
                     step = np.zeros(len(found) + 1, np.int64)
-                    if flagged.is_valid or single.is_valid:
-                        own = shape.window_hashes(_codes(found))
+                    if _some(flagged) or _some(single):
+                        own = shape.second_hashes(_codes(found))
                         first, count = _entries(flagged, own)
                         np.add.at(step, first, 1)
                         np.add.at(step, first + count + shape.length - 1, -1)
-                        if single.is_valid:
+                        if _some(single):
                             at = single.values.field("start").to_numpy()
                             at_hash = single.values.field("check").to_numpy()
                             fits = at < len(own)
@@ -302,10 +310,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # both readers of the texts take them from the same shuffle
     texts = texts.repartition("id")
     joined = texts.join(found, "id", "left")
-    windows = joined.mapInArrow(
-        _open_windows(shape), "key long, id long, start long, check long, repeated boolean").repartition("key")
-    windows = windows.select("id", F.struct("start", "check").alias("entry"), (
-        F.col("repeated") | (F.min("id").over(Window.partitionBy("key")) < F.col("id"))).alias("repeated"))
+    # texts without open blocks are not sent to Python
+    windows = joined.where(F.size("open") > 0).select("id", "text", "open").mapInArrow(
+        _open_windows(shape), "key long, second long, id long, start long, repeated boolean").repartition("key")
+    check = F.col("second").bitwiseAND(F.lit(0x7FFFFFFF)).alias("check")
+    windows = windows.select("id", F.struct("start", check).alias("entry"), (
+        F.col("repeated") | (F.min("id").over(Window.partitionBy("key", "second")) < F.col("id"))).alias("repeated"))
     single = windows.where("repeated").groupBy("id").agg(F.collect_list("entry").alias("starts"))
     return joined.join(single, "id", "left").mapInArrow(
         _result(shape), "id long, n_words long, n_removed long, kept_sha256 string, "

@@ -56,3 +56,17 @@ def test_repeats_are_maximal(spark):
     df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
     found = {r.doc_id: r.repeats for r in U.deduplicate(df).collect()}
     assert found[1] == [] and [tuple(x) for x in found[2]] == [(5, 32)]
+
+
+def test_collisions_of_the_first_hash_change_nothing(spark, monkeypatch):
+    """Windows that agree in the first hash alone are different windows."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 30)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        a = rng.randint(0, 170)
+        rows.append((i, " ".join(f"w{rng.randint(0, 900)}" for _ in range(30)) + " " + " ".join(base[a:a + 30])))
+    whole = U.Shape.window_hashes
+    monkeypatch.setattr(U.Shape, "window_hashes", lambda self, codes: whole(self, codes) & U.np.uint64(7))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df, crowd=1) == brute(rows)
