@@ -5,7 +5,10 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,23 +57,62 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def worker_memo(group: str, name: str, limit: int) -> dict:
-    """A dictionary that lives as long as the Python worker does.
-
-    It holds results that depend on the key alone. It is emptied when it has
-    more than ``limit`` entries, and when the worker turns to another group
-    (another operator, tokenizer or model), so its memory is bounded however
-    long the worker lives.
+class Memo:
+    """Results by key in two generations. When the younger one is full it
+    becomes the older, and the older goes; keys that are asked for again move
+    to the younger. So frequent keys stay, and keys seen once go."""
+
+    def __init__(self) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that neither generation holds; the younger one
+        holds the others afterwards."""
+        new, old = self.new, self.old
+        keys = keys.difference(new)
+        if not old or not keys:
+            return keys
+        found = [k for k in keys if k in old]
+        new.update(zip(found, map(old.__getitem__, found)))
+        return keys.difference(found)
+
+    def age(self, limit: int) -> dict:
+        """The younger generation, begun anew if it holds more than ``limit``."""
+        if len(self.new) > limit:
+            self.new, self.old = {}, self.new
+        return self.new
+
+
+def worker_memo(group: str, name: str, limit: int) -> Memo:
+    """A memo that lives as long as the Python worker does.
+
+    It holds results that depend on the key alone. A generation ends at more
+    than ``limit`` entries, and everything goes when the worker turns to another
+    group (another operator, tokenizer or model), so its memory is bounded
+    however long the worker lives.
     """
     store = sys.modules.setdefault("_gatewatch_worker", types.ModuleType("_gatewatch_worker"))
     if store.__dict__.get("group") != group:
         store.group, store.memos = group, {}
-    memo = store.memos.setdefault(name, {})
-    if len(memo) > limit:
-        memo.clear()
+    memo = store.memos.setdefault(name, Memo())
+    memo.age(limit)
     return memo
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and, unless a row is larger by
+    itself, about ``size`` bytes of a text column."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    ends = sizes.cumsum()
+    low = 0
+    while low < len(sizes):
+        full = int(ends.searchsorted(ends[low] - sizes[low] + size, "right"))
+        high = min(low + rows, max(low + 1, full))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def worker_once(name: str, make):
     """``make()`` once per Python worker."""
     store = sys.modules.setdefault("_gatewatch_worker", types.ModuleType("_gatewatch_worker"))

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, worker_memo, written
-from .tokens import tokenizer
+from .common import documents, slices, worker_memo, written
+from .tokens import is_byte_level, tokenizer
 
-#: Entries of the memo of segments; about 100 MB.
-MEMO = 450_000
+#: Segments in one of the two generations of the memo; some 250 MB both
+MEMO = 600_000
 #: Letters below are in Latin blocks, which every version of Unicode has alike.
 LATIN_END = "\u0250"
 
@@ -71,16 +71,18 @@ class Ids:
 
     A segment of Latin letters is one word of the pattern, so the library's
     model is asked for that word alone; one with a point or comma behind is
-    that word and the mark. Any other segment goes through the whole library.
+    that word and the mark. Any other segment goes through the whole library. A
+    file that is not of a byte-level model is used on whole texts.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
+        self.by_words = is_byte_level(path)
         self.memo = worker_memo(f"ids-{path}", "segments", MEMO)
         self.heads = worker_memo(f"ids-{path}", "heads", MEMO // 10)
         self.letters = _byte_letters()
         self.model = self.tok.model
-        self.marks = {m: self._encoded([m])[0] for m in ".,"}
+        self.marks = {m: self._encoded([m])[0] for m in ".,"} if self.by_words else {}
 
     def _encoded(self, segments: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
@@ -92,17 +94,12 @@ class Ids:
             "".join(map(self.letters.__getitem__, text.encode())))]).tobytes()
 
     def learn(self, segments: set[str]) -> None:
-        memo, rest = self.memo, []
-        for s in segments:
-            if s in memo:
-                continue
+        memo, old, rest = self.memo.new, self.memo.old, []
+        for s in self.memo.missing(segments):
             if s.isalpha() and max(s) < LATIN_END:
                 memo[s] = self._word(s)
             elif s[:-1].isalpha() and s[-1] in self.marks and max(s) < LATIN_END:
-                word = s[:-1]
-                if word not in memo:
-                    memo[word] = self._word(word)
-                memo[s] = memo[word] + self.marks[s[-1]]
+                memo[s] = (memo.get(s[:-1]) or old.get(s[:-1]) or self._word(s[:-1])) + self.marks[s[-1]]
             elif not s or s[-1].isspace():
                 memo[s] = None  # the next segment may belong to it
             else:
@@ -112,16 +109,18 @@ class Ids:
             memo.update(zip(part, self._encoded([" " + s for s in part])))
 
     def of(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._encoded(texts)
         split = [t.split(" ") for t in texts]
-        new = list({s[0] for s in split}.difference(self.heads))
-        self.heads.update(zip(new, self._encoded(new)))
-        self.learn(set().union(*(s[1:] for s in split)).difference(self.memo))
+        new = list(self.heads.missing({s[0] for s in split}))
+        self.heads.new.update(zip(new, self._encoded(new)))
+        self.learn(set().union(*(s[1:] for s in split)))
         out = []
         for text, parts in zip(texts, split):
             try:
                 if not parts[0] or parts[0][-1].isspace():
                     raise TypeError
-                out.append(self.heads[parts[0]] + b"".join(map(self.memo.__getitem__, parts[1:])))
+                out.append(self.heads.new[parts[0]] + b"".join(map(self.memo.new.__getitem__, parts[1:])))
             except TypeError:  # white space that does not stand by itself
                 first, *rest = _segments(text)
                 out.append(b"".join(self._encoded([first, *(" " + s for s in rest)])))
@@ -142,9 +141,8 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = Ids(path)
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in slices(batch, "text", 256):
+                tokens = Ids(path)
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(tokens.of(part["text"].to_pylist())):
                     ids += end

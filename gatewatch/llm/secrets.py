@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, worker_memo
+from .common import documents, slices, worker_memo
 
 KINDS = ("assign", "access", "hex", "tagged")
 
@@ -414,8 +414,8 @@ class Scanner:
 
     def __init__(self, field: Field, name: str):
         self.field = field
-        self.words: dict[bytes, list[int]] = worker_memo(f"secrets-{name}", "words", 300_000)
-        known = worker_memo(f"secrets-{name}", "pieces", 1 << 60)
+        self.words: dict[bytes, list[int]] = worker_memo(f"secrets-{name}", "words", 300_000).new
+        known = worker_memo(f"secrets-{name}", "pieces", 1 << 60).new
         if not self.words or "own" not in known:  # the words refer to the tables
             known.clear(), self.words.clear()
             known["at"], known["scores"] = {}, {}
@@ -484,8 +484,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in slices(batch, "text", 256):
                 texts = part["text"].to_pylist()
                 every, redacted = [], []
                 for text, tagged in zip(texts, Scanner(field, name).spans(texts)):

@@ -10,12 +10,15 @@ have from there to the next such place are the same. The tokenizers meant here
 nor their patterns nor their special strings reach over a blank. So what
 follows a blank does not depend on what is before it. Where an overlap has no
 such boundary (a long run without blanks), it is doubled to the left; if it
-would reach the chunk before, both are encoded as one.
+would reach the chunk before, both are encoded as one, up to the next blank.
 
 The same fact lets whole chunks be counted word by word: what the library
 gives for a word between blanks is kept in a bounded memo of the worker, and
-only words that it does not hold are encoded. ``blank_free=False`` encodes
-every text whole instead.
+only words that it does not hold are encoded.
+
+A worker looks at the tokenizer's file once (``is_blank_free``). If it is not
+of the kind for which all this is proven, every text is encoded whole; so it is
+with ``blank_free=False``.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens). Null ids, repeated
 rows and equal ids give a row each. An empty table gives an empty table. Other
@@ -24,6 +27,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -32,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, worker_memo, worker_once
+from .common import documents, slices, worker_memo, worker_once
 
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Entries of the memo of words; about 100 MB.
+#: Words in one of the two generations of the memo; about 130 MB both.
 MEMO = 400_000
 
 
@@ -57,6 +61,47 @@ def tokenizer(path: str):
     return worker_once(f"tokenizer-{path}", load)
 
 
+def parts(path: str) -> dict:
+    """What a tokenizer's file says of its parts, without the vocabulary."""
+    def load() -> dict:
+        said = json.loads(tokenizer(path).to_str())
+        said["model"] = {k: v for k, v in said["model"].items() if k not in ("vocab", "merges")}
+        return said
+
+    return worker_once(f"parts-{path}", load)
+
+
+#: The normaliser and pre-tokenizer of which it is known that
+#: blanks go before anything is merged and that no pattern reaches over one.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _plain(said: dict) -> bool:
+    """A merging model that always gives the same, special strings that are
+    taken literally and hold no white space, and nothing around."""
+    return (said["model"]["type"] == "BPE" and not said["model"]["dropout"] and not said["truncation"] and not said["padding"]
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"])
+                        for t in said["added_tokens"]))
+
+
+def is_blank_free(path: str) -> bool:
+    said = parts(path)
+    before = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}]
+    return (_plain(said) and (said["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(before) == 2
+            and before[0].get("pattern") == {"Regex": SPLIT} and before[0]["behavior"] == "Removed" and before[0]["invert"]
+            and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"] and not before[1]["use_regex"])
+
+
+def is_byte_level(path: str) -> bool:
+    """Whether a file is that of a byte-level model with its usual pattern."""
+    said = parts(path)
+    before = said["pre_tokenizer"] or {}
+    return (_plain(said) and said["normalizer"] is None and before.get("type") == "ByteLevel"
+            and not before["add_prefix_space"] and before["use_regex"] and not said["model"].get("ignore_merges")
+            and not said["model"].get("continuing_subword_prefix") and not said["model"].get("end_of_word_suffix"))
+
+
 Encode = Callable[[str], list[tuple[int, int]]]
 
 
@@ -72,24 +117,31 @@ def _encoder(path: str) -> Encode:
 
 
 def splice(text: str, encode: Encode, chunk_chars: int, overlap: int) -> int:
-    """How many tokens a long text has, by chunks."""
+    """How many tokens a long text has, by chunks.
+
+    An overlap without a blank is not encoded: nothing in it is stable. Where
+    the whole chunk has no boundary, the next one is at least as long as what
+    has been encoded in vain and goes on to the next blank, so all encodings
+    together are a small multiple of the text, whatever it is made of."""
     counted, begin, end = 0, 0, min(chunk_chars, len(text))
     left = encode(text[begin:end])  # tokens from ``begin`` on; all of them count
     while end < len(text):
-        wide = overlap
+        wide, cut = overlap, None
         after = min(end + chunk_chars - overlap, len(text))
-        while True:
+        while cut is None and end - wide > begin:
             at = end - wide
-            if at <= begin:  # nothing stable in the whole chunk: encode both as one
-                left, end = encode(text[begin:after]), after
-                break
+            wide *= 2
+            if not any(c in BLANKS for c in text[at:end]):
+                continue
             right = [(i, at + o) for i, o in encode(text[at:after])]
             cut = _common(text, [(i, begin + o) for i, o in left], right, at, end)
-            if cut is not None:
-                counted += sum(1 for _, o in left if begin + o < cut)
-                left, begin, end = [(i, o - cut) for i, o in right if o >= cut], cut, after
-                break
-            wide *= 2
+        if cut is None:  # nothing stable in the whole chunk: encode it with the next one
+            blank = min((k for c in BLANKS if (k := text.find(c, end)) >= 0), default=len(text))
+            end = min(len(text), max(after, end + end - begin, blank + overlap))
+            left = encode(text[begin:end])
+        else:
+            counted += sum(1 for _, o in left if begin + o < cut)
+            left, begin, end = [(i, o - cut) for i, o in right if o >= cut], cut, after
     return counted + len(left)
 
 
@@ -110,16 +162,19 @@ def _common(text: str, left: list, right: list, low: int, high: int) -> int | No
 
 
 def word_counts(texts: list[str], path: str) -> list[int]:
-    """Token counts of texts, word by word through the worker's memo."""
+    """Token counts of texts, word by word through the worker's memo; whole by
+    whole if the tokenizer does not allow that."""
+    if not is_blank_free(path):
+        return [len(e) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
     memo = worker_memo(f"counts-{path}", "words", MEMO)
     split = [t.encode().split() for t in texts]
-    new = list(set().union(*split).difference(memo)) if split else []
+    new = list(memo.missing(set().union(*split)))
     for low in range(0, len(new), 8192):
         part = new[low:low + 8192]
         for w, e in zip(part, tokenizer(path).encode_batch_fast(
                 [w.decode() for w in part], add_special_tokens=False)):
-            memo[w] = len(e)
-    return [sum(map(memo.__getitem__, s)) for s in split]
+            memo.new[w] = len(e)
+    return [sum(map(memo.new.__getitem__, s)) for s in split]
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -128,7 +183,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(texts: list[str]) -> list[int]:
-        if not blank_free:
+        if not blank_free or not is_blank_free(path):
             return [len(tokenizer(path).encode(t, add_special_tokens=False)) for t in texts]
         out = [0] * len(texts)
         short = [k for k, t in enumerate(texts) if len(t) <= chunk_chars]
@@ -142,8 +197,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for part in slices(batch, "text", 1024):
                 n = count(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part["id"], part["n_bytes"], pa.array(np.array(n, np.int64))], names=["id", "n_bytes", "n_tokens"])

@@ -31,6 +31,50 @@ def test_splice_equals_the_library():
         assert T.splice(t, encode, 40, 8) == len(WORD.encode(t, add_special_tokens=False)), repr(t)
 
 
+def test_long_runs_without_blanks():
+    """Encoded no more than a few times over, and counted as the library does."""
+    rng = random.Random(4)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/=") for _ in range(2_000_000))
+    for text in (run, "some words " * 3000 + run + " and more" * 3000, run[:50_000] + " " + run[:70_000], "a b" + run[:99_999] + "\n"):
+        asked = []
+        own = T._encoder("word_bpe_49k.json")
+        assert T.splice(text, lambda t: (asked.append(len(t)), own(t))[1], 16384, 256) == len(
+            WORD.encode(text, add_special_tokens=False))
+        assert sum(asked) < 3 * len(text) + 3 * 16384
+
+
+def test_other_tokenizer_files_take_whole_texts():
+    assert T.is_blank_free("word_bpe_49k.json") and T.is_byte_level("byte_bpe_50k.json")
+    assert not T.is_blank_free("byte_bpe_50k.json") and not T.is_byte_level("word_bpe_49k.json")
+    texts = [*mixed(100, 5), "a b c  d", "  x"]
+    assert T.word_counts(texts, "byte_bpe_50k.json") == [len(BYTE.encode(t, add_special_tokens=False)) for t in texts]
+    for t, got in zip(texts, P.ids_of(texts, "word_bpe_49k.json")):
+        assert got == np.array(WORD.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from gatewatch.llm.common import slices
+    texts = ["x" * 100] * 5 + [None, "", "y" * 5000] + ["z" * 10] * 40
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = [p["text"].to_pylist() for p in slices(batch, "text", 16, 250)]
+    assert [t for p in got for t in p] == texts and max(map(len, got)) <= 16
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 250 for p in got)
+    assert list(slices(batch.slice(0, 0), "text", 16)) == []
+
+
+def test_memo_keeps_what_is_asked_again():
+    from gatewatch.llm.common import Memo
+    memo = Memo()
+    for k in range(200):
+        memo.age(10)
+        for w in memo.missing({"often", k}):
+            memo.new[w] = k
+        assert {"often", k} <= memo.new.keys() and len(memo.new) + len(memo.old) <= 24
+    assert memo.new["often"] == 0
+
+
 def test_ids_equal_the_library():
     texts = mixed(1500, 3) + ["", " ", " lead", "end ", "a ªº ßÿ ŉ. ǅ, ʰ. µ.", "a .", "a ,."]
     for t, got in zip(texts, P.ids_of(texts, "byte_bpe_50k.json")):
