@@ -46,6 +46,49 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+MIXTURE = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS n_tokens,
+         md5(concat_ws('|', '0', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS "at" FROM documents),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM d GROUP BY source),
+f AS (SELECT count(*) AS n, CAST(max(tokens) AS DOUBLE) AS top, CAST(min(tokens) AS DOUBLE) AS bottom,
+             list(tokens / (SELECT max(tokens) FROM s)) AS parts FROM s WHERE tokens > 0),
+flat(step, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END
+  FROM (SELECT step, low, high, mid, ln(list_sum(list_transform(parts, lambda p: pow(p, mid))))
+                 - mid * list_sum(list_transform(parts, lambda p: pow(p, mid) * ln(p)))
+                   / list_sum(list_transform(parts, lambda p: pow(p, mid))) >= 0.95 * ln(n) AS ok
+        FROM (SELECT *, CASE WHEN step = 0 THEN 1 ELSE (low + high) / 2 END AS mid FROM flat) CROSS JOIN f)
+  WHERE step <= 60),
+wide AS (SELECT CASE WHEN n < 2 THEN 1 ELSE low END AS a, n, top, bottom FROM flat CROSS JOIN f WHERE step = 61),
+fits(step, low, high) AS (
+  SELECT 0, a, CAST(1 AS DOUBLE) FROM wide
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END
+  FROM (SELECT step, low, high, mid, top / bottom * pow(bottom / top, mid) <= 2 * (1 + 1e-12) AS ok
+        FROM (SELECT *, CASE WHEN step = 0 THEN low ELSE (low + high) / 2 END AS mid FROM fits) CROSS JOIN f)
+  WHERE step <= 60),
+e AS (SELECT CASE WHEN n < 2 THEN 1 ELSE high END AS a FROM fits CROSS JOIN f WHERE step = 61),
+plan AS (
+  SELECT source, docs, tokens, CASE WHEN tokens > 0 THEN greatest(tokens, CAST(floor(
+           pow(tokens / top, a) / list_sum(list_transform(parts, lambda p: pow(p, a)))
+           * (top * list_sum(list_transform(parts, lambda p: pow(p, a)))) * (1 + 1e-12) + 1e-6) AS BIGINT)) END AS quota
+  FROM s CROSS JOIN f CROSS JOIN e),
+epochs AS (SELECT source, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS whole,
+                  CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest,
+                  greatest(1, (docs + 999) // 1000) AS blocks FROM plan),
+placed AS (SELECT d.*, whole, rest, CAST('0x' || substr("at", 1, 13) AS BIGINT) % blocks AS block
+           FROM d JOIN epochs p ON d.source IS NOT DISTINCT FROM p.source),
+given AS (SELECT *, unnest(range(0, whole + 1)) AS epoch FROM placed),
+spots AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '0', epoch, block)), 1, 13) AS BIGINT) AS position FROM given),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY position, block, "at", n_tokens
+                                      ROWS UNBOUNDED PRECEDING) AS upto FROM spots)
+SELECT doc_id, source, n_tokens, CAST(epoch AS INT) AS epoch, block, position FROM run
+WHERE epoch < whole OR (rest > 0 AND upto <= rest)
+"""
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 WARC = f"""
@@ -160,6 +203,7 @@ LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
 ORACLES: dict[str, str] = {
     "op6_url_filter": URL_FILTER,
     "op7_line_quality": LINE_QUALITY,
+    "op8_mixture": MIXTURE,
     "op9_warc": WARC,
     "op10_substrings": SUBSTRINGS,
     "op11_line_dedup": LINE_DEDUP,
