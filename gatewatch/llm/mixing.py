@@ -146,7 +146,8 @@ def _sums_of(held: DataFrame, top: float) -> Sums:
     part = F.col("tokens") / F.lit(top)
 
     def sums(points: Sequence[float]) -> list[tuple[float, float]]:
-        each = held.select("tokens", F.posexplode(F.lit(list(points))).alias("k", "a"))
+        exponents = F.split(F.lit(",".join(map(repr, points))), ",").cast("array<double>")
+        each = held.select("tokens", F.posexplode(exponents).alias("k", "a"))
         raised = F.pow(part, F.col("a"))
         rows = each.groupBy("k").agg(F.sum(raised).alias("z"), F.sum(raised * F.log(part)).alias("y")).collect()
         return [(r.z, r.y) for r in sorted(rows, key=lambda r: r.k)]  # a row for each point
