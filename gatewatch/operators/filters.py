@@ -84,24 +84,34 @@ def previous_period(df: DataFrame, start, end, operations=None, carriers=None) -
     return df.where(audit_predicate(None, ps, pe, operations, carriers))
 
 
-def last_data_days(df: DataFrame, days: int = 5, date_col: str = "audit_date") -> DataFrame:
+def _of_bounds(df: DataFrame, date_col: str, bounds, value) -> Column:
+    """``value(first, last)`` of the data's dates: of ``bounds`` where the caller
+    knows them (``sources.stored_bounds``), else by a scalar subquery over ``df``."""
+    if bounds is None:
+        return df.select(value(F.min(date_col), F.max(date_col))).scalar()
+    return value(*[F.lit(None).cast("date") if b is None else _date(b) for b in bounds])
+
+
+def last_data_days(df: DataFrame, days: int = 5, date_col: str = "audit_date", bounds=None) -> DataFrame:
     """F8: the last ``days`` days of data: from max(max_date - (days-1), min_date)."""
-    start = df.select(F.greatest(F.date_sub(F.max(date_col), days - 1), F.min(date_col))).scalar()
+    start = _of_bounds(df, date_col, bounds, lambda low, high: F.greatest(F.date_sub(high, days - 1), low))
     return df.where(F.col(date_col) >= start)
 
 
-def current_week(df: DataFrame, date_col: str = "audit_date") -> DataFrame:
+def current_week(df: DataFrame, date_col: str = "audit_date", bounds=None) -> DataFrame:
     """Monday of the latest week with data, up to the latest date."""
-    week_start = df.select(F.to_date(F.date_trunc("week", F.max(date_col)))).scalar()
+    week_start = _of_bounds(df, date_col, bounds, lambda low, high: F.to_date(F.date_trunc("week", high)))
     return df.where(F.col(date_col) >= week_start)
 
 
 def single_day(df: DataFrame, day=None, operations=None, carriers=None,
-               date_col: str = "audit_date") -> DataFrame:
+               date_col: str = "audit_date", bounds=None) -> DataFrame:
     """one day (default: the latest), keeping only the operation and
-    carrier filters."""
+    carrier filters. ``bounds`` are those of ``df``; under a selection the
+    latest day is that of the selected rows, so they are not used."""
     base = df.where(audit_predicate(None, None, None, operations, carriers, date_col))
-    target = _date(day) if day is not None else base.select(F.max(date_col)).scalar()
+    known = bounds if operations is None and carriers is None else None
+    target = _date(day) if day is not None else _of_bounds(base, date_col, known, lambda low, high: high)
     return base.where(F.col(date_col) == target)
 
 
@@ -153,7 +163,7 @@ def filter_year(df: DataFrame, year=None, date_col: str = "flight_date") -> Data
     return df.where(years_predicate(date_col, [year]))
 
 
-def timeline(df: DataFrame, as_of, days: int = 90, date_col: str = "flight_date") -> DataFrame:
+def timeline(df: DataFrame, as_of, days: int = 90, date_col: str = "flight_date", bounds=None) -> DataFrame:
     """default slider window of the occurrence analysis.
 
     Bounds come from the data: if min >= max then min = max - 1; the window
@@ -162,10 +172,12 @@ def timeline(df: DataFrame, as_of, days: int = 90, date_col: str = "flight_date"
     """
     a = _dt.date.fromisoformat(str(as_of))
     cand = _date(a - _dt.timedelta(days=days))
-    lo = F.when(F.min(date_col) >= F.max(date_col), F.date_sub(F.max(date_col), 1)) \
-        .otherwise(F.min(date_col))
-    start = df.select(
-        F.when((cand >= lo) & (cand <= F.max(date_col)), cand).otherwise(lo)).scalar()
+
+    def begin(low: Column, high: Column) -> Column:
+        low = F.when(low >= high, F.date_sub(high, 1)).otherwise(low)
+        return F.when((cand >= low) & (cand <= high), cand).otherwise(low)
+
+    start = _of_bounds(df, date_col, bounds, begin)
     return df.where(F.col(date_col) >= start)  # no dated row is later than the last
 
 
@@ -194,8 +206,11 @@ def values(df: DataFrame, col: str, sort: bool = True) -> DataFrame:
     return out.orderBy(F.col(col).asc_nulls_first()) if sort else out
 
 
-def date_bounds(df: DataFrame, as_of, date_col: str = "audit_date") -> DataFrame:
+def date_bounds(df: DataFrame, as_of, date_col: str = "audit_date", bounds=None) -> DataFrame:
     """One row (min_date, max_date), falling back to ``as_of`` when empty."""
     a = _date(as_of)
+    if bounds is not None:
+        low, high = (a if b is None else _date(b) for b in bounds)
+        return df.sparkSession.range(1).select(low.alias("min_date"), high.alias("max_date"))
     return df.agg(F.coalesce(F.min(date_col), a).alias("min_date"),
                   F.coalesce(F.max(date_col), a).alias("max_date"))

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
+from ..operators import filters as FL
 from ..operators import ordering as O
 from ..operators import tables as TB
 from ..schemas import AUDIT_RAW, FLIGHT_COLUMNS, FLIGHT_HEADERS, FLIGHT_RAW, FLIGHTS
 from ..session import scratch_path
 from ..sources import (append_table, drop_old_versions, export_report, read_csv, read_delimited, read_first, read_parquet,
-                       read_table, replace_table, report_lines, save_edits, snapshot, store_by_month, write_csv)
+                       read_table, replace_table, report_lines, save_edits, snapshot, store_by_month, stored_bounds, write_csv)
 from ..sources.readers import upper
 from . import adapters as AD
 
@@ -109,6 +110,14 @@ FROM (SELECT *, CASE WHEN operation = '1-URGENT' THEN retained ELSE retained + 1
       WHERE ({_SCOPE}) AND operation <> '5-LOW')"""
 
 
+def _stored_bounds(spark, sf):
+    """The last five days of a table by month; the bounds of its dates come from
+    the files' footers, and the filter on them leaves other months unread."""
+    path = _new(spark, "bounds")
+    store_by_month(AD.audit(spark, sf), path)
+    return FL.last_data_days(read_table(spark, path), 5, bounds=stored_bounds(spark, path, "audit_date"))
+
+
 def _replace_import(spark, sf):
     """An import that replaces the stored flight log."""
     path = _new(spark, "log")
@@ -160,6 +169,8 @@ QUERIES = [
     ("io_versioned_replace", ("K2", "S3"), _versions, with_views(
         "SELECT * FROM audit WHERE released > 0 AND retained > 0", "audit")),
     ("io_edit_by_month", ("U4", "K2"), _edits_by_month, with_views(_EDITED, "audit_ids")),
+    ("io_stored_bounds", ("D4", "F8", "K2"), _stored_bounds, with_views(
+        "SELECT * FROM audit WHERE audit_date >= (SELECT greatest(max(audit_date) - 4, min(audit_date)) FROM audit)", "audit")),
     ("io_replace_import", ("U5", "K2"), _replace_import, with_views(
         f"SELECT {', '.join(FLIGHT_COLUMNS)} FROM flights_imported", "flights_imported")),
     ("io_append_table", ("K3",), _append, with_views(

@@ -57,7 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set: name a folder every executor shares")
     # a local session (tests): the folder is known to the context alone, as the
     # setting itself cannot be changed once the session runs
