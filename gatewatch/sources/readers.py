@@ -53,6 +53,15 @@ def header_lines(spark: SparkSession, path: str | Sequence[str]) -> dict[str, li
     return {r.header.lstrip("﻿"): list(r.files) for r in sorted(found, key=lambda r: r.files[0])}
 
 
+def exact(name: str) -> str:
+    return name.strip()
+
+
+def upper(name: str) -> str:
+    """Headers as the audit module matches them."""
+    return name.strip().upper()
+
+
 def split_header(line: str, sep: str) -> list[str]:
     return next(csv.reader([line], delimiter=sep), [])
 
@@ -90,47 +99,56 @@ def _layout(spark: SparkSession, line: str, files: list[str], sep: str | None,
     return raw.select(*cols, *extra)
 
 
-def _by_header(spark: SparkSession, path, sep, expected, key, with_source) -> DataFrame:
+def _is_foreign(line: str, sep: str | None, expected: Sequence[str], key: Callable[[str], str]) -> bool:
+    """Whether a header names none of the expected columns."""
+    return {key(c) for c in expected}.isdisjoint(key(c) for c in split_header(line, sep or sniff_header(line)))
+
+
+def foreign_files(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, sep: str | None = None,
+                  key: Callable[[str], str] = exact) -> DataFrame:
+    """The files of an import whose header names no column of ``schema``, as
+    ``source_file`` and ``header``: what ``skip_foreign`` leaves out."""
+    rows = [(f, h) for h, files in header_lines(spark, path).items()
+            if _is_foreign(h, sep, schema.names, key) for f in files]
+    return spark.createDataFrame(rows, "source_file string, header string")
+
+
+def _by_header(spark: SparkSession, path, sep, expected, key, with_source, skip_foreign=False) -> DataFrame:
     parts = [_layout(spark, h, files, sep, expected, key, with_source)
-             for h, files in header_lines(spark, path).items()]
+             for h, files in header_lines(spark, path).items()
+             if not (skip_foreign and expected is not None and _is_foreign(h, sep, expected, key))]
     if not parts:
         names = [*(expected or []), *(["source_file"] if with_source else [])]
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def exact(name: str) -> str:
-    return name.strip()
-
-
-def upper(name: str) -> str:
-    """Headers as the audit module matches them."""
-    return name.strip().upper()
-
-
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
-             sep: str | None = ",", with_source: bool = False, key: Callable[[str], str] = exact) -> DataFrame:
+             sep: str | None = ",", with_source: bool = False, key: Callable[[str], str] = exact,
+             skip_foreign: bool = False) -> DataFrame:
     """CSV with a header row and quoted multi-line fields, all text.
 
     With ``schema`` its columns are looked up in each file's header by name
     (``key`` of it); a column that a file lacks is null, a file with none of
-    them is an error. Without it a file's own columns are read. ``sep=None``
+    them is an error, or left out with ``skip_foreign`` (``foreign_files``
+    lists these). Without it a file's own columns are read. ``sep=None``
     sniffs the delimiter of each file. A multi-line CSV file is not
     splittable, so an import is expected as many files in one directory.
     ``with_source`` adds ``source_file`` (for per-file forward fill).
     """
-    return _by_header(spark, path, sep, schema.names if schema is not None else None, key, with_source)
+    return _by_header(spark, path, sep, schema.names if schema is not None else None, key, with_source, skip_foreign)
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
-                   with_source: bool = False, key: Callable[[str], str] = exact) -> DataFrame:
+                   with_source: bool = False, key: Callable[[str], str] = exact,
+                   skip_foreign: bool = False) -> DataFrame:
     """CSV whose files use ';', ',', tab or '|', each its own
     (spreadsheet exports)."""
-    return read_csv(spark, path, schema, None, with_source, key)
+    return read_csv(spark, path, schema, None, with_source, key, skip_foreign)
 
 
 def read_upload(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
-                key: Callable[[str], str] = exact) -> DataFrame:
+                key: Callable[[str], str] = exact, skip_foreign: bool = False) -> DataFrame:
     """An import folder of spreadsheet exports, all text, with ``source_file``
     and ``row_no`` (row order within its file) for file-order operations such
     as filling merged cells.
@@ -138,7 +156,7 @@ def read_upload(spark: SparkSession, path: str | Sequence[str], schema: T.Struct
     A multi-line CSV file is read by one task, in file order, so the
     partition-local ids increase with the row order inside each file.
     """
-    df = read_delimited(spark, path, schema, True, key)
+    df = read_delimited(spark, path, schema, True, key, skip_foreign)
     return df.withColumn("row_no", F.monotonically_increasing_id())
 
 

@@ -7,7 +7,8 @@ does (each by its own header, dates of merged cells filled in file order),
 drops copies, leaves out what the stored table already holds (null-safe, on
 all columns) and appends the rest. The result equals ``merge_import`` for a
 table that has no copies of its own, without rewriting the table. Rows without
-a valid date go to a table of rejects. Progress lives in the stream
+a valid date go to a table of rejects, names and headers of files without any
+expected column to a table of rejected files beside it. Progress lives in the stream
 checkpoint, so a restarted query neither loses nor repeats files.
 """
 
@@ -25,7 +26,7 @@ from ..operators.cleaning import fill_dates, type_audit, type_flights
 from ..operators.filters import in_range
 from ..schemas import AUDIT_RAW, FLIGHT_RAW
 from ..session import checkpoint_dir
-from ..sources.readers import read_upload, upper
+from ..sources.readers import exact, foreign_files, read_upload, upper
 
 #: What the file stream gives; the contents are not read by the stream itself.
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -68,13 +69,21 @@ def merge_batch(batch: DataFrame, target_path: str, date_col: str = "audit_date"
 
 
 def read_batch(spark: SparkSession, paths: list[str], kind: str) -> tuple[DataFrame, str]:
-    """Typed rows of the files, undated ones included, and the date column."""
+    """Typed rows of the files, undated ones included, and the date column.
+    Files that are no records of the kind are left out (``rejected_files``)."""
     if kind == "audit":
-        return type_audit(read_upload(spark, paths, AUDIT_RAW, key=upper).drop("source_file", "row_no")), "audit_date"
-    raw = read_upload(spark, paths, FLIGHT_RAW)
+        raw = read_upload(spark, paths, AUDIT_RAW, key=upper, skip_foreign=True)
+        return type_audit(raw.drop("source_file", "row_no")), "audit_date"
+    raw = read_upload(spark, paths, FLIGHT_RAW, skip_foreign=True)
     return type_flights(fill_dates(raw, "row_no", "source_file")), "flight_date"
 
 
+def rejected_files(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """The files that ``read_batch`` leaves out, with their headers."""
+    schema, key = (AUDIT_RAW, upper) if kind == "audit" else (FLIGHT_RAW, exact)
+    return foreign_files(spark, paths, schema, key=key)
+
+
 def import_stream(spark: SparkSession, landing_dir: str, target_path: str,
                   checkpoint_location: str | None = None, kind: str = "audit",
                   available_now: bool = True, max_files: int = 100,
@@ -94,6 +103,9 @@ def import_stream(spark: SparkSession, landing_dir: str, target_path: str,
         paths = [r.path for r in batch.collect()]  # at most max_files names
         if not paths:
             return
+        foreign = rejected_files(batch.sparkSession, sorted(paths), kind)
+        if not foreign.isEmpty():
+            foreign.write.mode("overwrite").parquet(f"{rejects_path}__files/batch={_epoch}")
         typed, date_col = read_batch(batch.sparkSession, sorted(paths), kind)
         typed = typed.persist()
         try:

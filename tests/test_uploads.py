@@ -1,0 +1,49 @@
+"""Uploads that are no records of the expected kind."""
+
+import pytest
+
+from gatewatch.schemas import AUDIT_RAW
+from gatewatch.sources import foreign_files, read_delimited, read_upload
+from gatewatch.sources.readers import upper
+
+
+@pytest.fixture
+def folder(tmp_path):
+    first, second = AUDIT_RAW.names[:2]
+    (tmp_path / "a.csv").write_text(f"{first};{second}\n05/03/2025;ALFA\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text(f"{second.lower()},{first}\nBETA,06/03/2025\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("lorem,ipsum\n1,2\n", encoding="utf-8")
+    (tmp_path / "d.csv").write_text("only one column\n1\n", encoding="utf-8")
+    (tmp_path / "e.csv").write_text("", encoding="utf-8")
+    return str(tmp_path)
+
+
+def test_foreign_files_are_an_error_by_default(spark, folder):
+    with pytest.raises(ValueError, match="none of the columns"):
+        read_delimited(spark, folder, AUDIT_RAW, key=upper)
+
+
+def test_foreign_files_are_left_out_and_listed(spark, folder):
+    df = read_upload(spark, folder, AUDIT_RAW, key=upper, skip_foreign=True)
+    first, second = AUDIT_RAW.names[:2]
+    assert {(r[first], r[second]) for r in df.collect()} == {("05/03/2025", "ALFA"), ("06/03/2025", "BETA")}
+    found = foreign_files(spark, folder, AUDIT_RAW, key=upper).collect()
+    assert {(r.source_file.rsplit("/", 1)[1], r.header) for r in found} == {
+        ("c.csv", "lorem,ipsum"), ("d.csv", "only one column")}
+
+
+def test_a_folder_of_foreign_files_alone_is_empty(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("lorem,ipsum\n1,2\n", encoding="utf-8")
+    df = read_upload(spark, str(tmp_path), AUDIT_RAW, key=upper, skip_foreign=True)
+    assert df.count() == 0 and set(AUDIT_RAW.names) <= set(df.columns)
+    assert foreign_files(spark, str(tmp_path), AUDIT_RAW, key=upper).count() == 1
+
+
+def test_a_foreign_file_does_not_stop_the_stream(spark, folder, tmp_path_factory):
+    from gatewatch.streaming.importer import import_stream
+    out = tmp_path_factory.mktemp("stream")
+    target, rejects = str(out / "table"), str(out / "rejects")
+    import_stream(spark, folder, target, str(out / "progress"), rejects_path=rejects).awaitTermination()
+    assert {r.carrier for r in spark.read.parquet(target).collect()} == {"ALFA", "BETA"}
+    found = spark.read.parquet(f"{rejects}__files").collect()
+    assert {r.source_file.rsplit("/", 1)[1] for r in found} == {"c.csv", "d.csv"}
