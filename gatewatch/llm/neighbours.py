@@ -12,7 +12,8 @@ one by one, and at each length the vectors that share that prefix with the
 query in any tree become candidates, until there are ``share`` of the shard
 (and ``least`` at least). The last length is taken whole, so which candidates
 are taken does not depend on their order. Candidates are compared by cosine in
-double precision, and each shard's nearest are merged.
+double precision, and each shard's nearest are merged. ``least`` is a small
+multiple of ``k``, so a table of a few hundred vectors is pruned as any other.
 
 Queries meet shards in blocks of ``query_rows``; the memory of a task is
 bounded by one shard and one block. Equal vectors are kept once with their
@@ -21,8 +22,9 @@ picked before the shuffle, so a group of copies is small wherever it goes.
 
 On vectors without any structure the nearest ones are hardly nearer than the
 rest, and a large share has to be looked at; ``share`` is what reaches a
-recall of 0.9 there (measured in the tests and the README). Vectors in tight
-groups need far less.
+recall of 0.9 there (measured in the tests and the README). Many trees with
+longer prefixes find more in as many candidates than few trees with short ones.
+Vectors in tight groups need far less.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, neither as queries nor as candidates, nor do rows with
@@ -69,6 +71,10 @@ def hash_strings(vectors: np.ndarray, trees: int) -> np.ndarray:
     return out
 
 
+#: Queries whose bounds in the trees are held at once.
+TOGETHER = 128
+
+
 class Forest:
     """The sorted arrays of one shard."""
 
@@ -82,6 +88,10 @@ class Forest:
     def candidates(self, hashes: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
         """For each query (a column of ``hashes``) the rows that the synchronous
         ascent meets."""
+        for low in range(0, hashes.shape[1], TOGETHER):
+            yield from self._candidates(hashes[:, low:low + TOGETHER], wanted)
+
+    def _candidates(self, hashes: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
         trees, n = self.sorted.shape
         lows, highs = {}, {}
 
@@ -119,7 +129,7 @@ class Forest:
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-           trees: int = 32, share: float = 0.5, least: int = 2000, shard_rows: int = 8192,
+           trees: int = 256, share: float = 0.3, least: int = 40, shard_rows: int = 8192,
            query_rows: int = 2048) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row where ``is_query``
     holds (a condition on the id, named ``id``) its ``k`` nearest found, ties

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gatewatch.llm import neighbours as N
@@ -60,3 +61,24 @@ def test_edges(spark):
     got = [tuple(r) for r in N.search(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 7, 1 / math.sqrt(2) if got[1][3] == 1 / math.sqrt(2) else got[1][3])]
     assert N.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["random", "groups"])
+def test_small_tables_are_pruned_too(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 64))
+    if kind == "groups":
+        x = rng.standard_normal((80, 64))[rng.integers(0, 80, 2000)] + 0.4 * x
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.search(df, F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows)
+    hits = sum(len(got[q] & {v for v, _ in w}) for q, w in want.items())
+    assert set(got) == set(want) and hits >= 0.9 * 5 * len(want)
+    # the candidates behind it: the same as one query at a time, and a part of the table
+    forest, hashes = N.Forest(x, 256), N.hash_strings(x[::50], 256)
+    met = list(forest.candidates(hashes, 600))
+    assert all((a == next(forest.candidates(hashes[:, q:q + 1], 600))).all() for q, a in enumerate(met))
+    assert sum(map(len, met)) < 0.5 * len(x) * len(met)
