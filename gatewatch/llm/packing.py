@@ -335,7 +335,7 @@ def pack(items: DataFrame, capacity: int = 2048, group_rows: int = 8192, open_be
     and ``offset``; other columns are passed on."""
     names = [c for c in items.columns if c not in ("sequence_id", "offset")]
     rows = written(items.select(*[f"`{c}`" for c in names]), "pieces")
-    n, level, out = rows.count(), 0, []
+    n, level, out, held, opened = rows.count(), 0, [], None, 0
     own = "sequence_id long, offset long, still_open boolean"
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     while True:
@@ -344,12 +344,18 @@ def pack(items: DataFrame, capacity: int = 2048, group_rows: int = 8192, open_be
         # groups of equal size whatever the rows hold
         grouped = rows.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
         packed = written(grouped.groupBy("__group").applyInArrow(run, f"{types}, {own}"), "packed")
-        again = packed.where("still_open").count() if groups > 1 else 0
-        if again == 0 or again > 0.5 * n:  # opening so many again would not help
+        # a sequence has one row at offset 0
+        made, again, opens = packed.agg(*[F.coalesce(F.sum(x.cast("long")), F.lit(0)) for x in (
+            F.col("offset") == 0, F.col("still_open"), F.col("still_open") & (F.col("offset") == 0))]).first()
+        if held is not None and made >= opened:  # this level saved nothing: the sequences it opened stay
+            out.append(held)
+            break
+        if again == 0:
             out.append(packed)
             break
         out.append(packed.where("not still_open"))
-        rows, n, level = packed.where("still_open").select(*[f"`{c}`" for c in names]), again, level + 1
+        held, opened = packed.where("still_open"), opens
+        rows, n, level = held.select(*[f"`{c}`" for c in names]), again, level + 1
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)

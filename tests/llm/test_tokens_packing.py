@@ -158,3 +158,18 @@ def test_packing_of_a_table(docs, no_docs, texts, group_rows):
         assert all(r.length == 2048 for r in got[1:]) and got[-1].start + got[-1].length == len(ids)
         assert all(zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32 for r in got)
     assert P.packed_documents(no_docs).count() == 0
+
+
+def test_many_open_sequences_are_packed_across_groups(spark):
+    rng = random.Random(1)
+    # hardly any three fill a sequence, so most stay open in groups of 40
+    items = spark.createDataFrame([(i, rng.randint(560, 800)) for i in range(600)], "id long, length long")
+    alone = P.pack(items, group_rows=40, open_below=0)
+    rows = P.pack(items, group_rows=40).collect()
+    assert sorted(r.id for r in rows) == list(range(600))
+    bins = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == bins.get(r.sequence_id, 0)
+        bins[r.sequence_id] = r.offset + r.length
+    assert max(bins.values()) <= 2048
+    assert len(bins) < alone.select("sequence_id").distinct().count()
