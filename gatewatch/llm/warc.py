@@ -8,7 +8,8 @@ date that follow from the content. So the files depend on the records and the
 parameters alone, byte for byte, however the input is partitioned.
 
 Ranges. The cut points are quantiles of a sample of records picked by a hash
-(about ``sample_rows``), so they do not depend on the partitioning either.
+(about ``sample_rows``; equal ones count as one with their bytes), so they do
+not depend on the partitioning either.
 
 Copies. Of records with equal payloads of ``min_bytes`` or more the one with
 the largest page id is written as response, the others as revisits of it
@@ -19,8 +20,9 @@ SHA-256 are.
 
 Commit. A task writes under a temporary name of its own attempt. What it wrote
 comes back as manifest rows, which Spark's writer commits for the winning
-attempt only; then the named files are renamed into place, and the manifest is
-put beside them last, through a temporary name too. A reader goes by the
+attempt only; then tasks over these rows rename the files into place, and the
+manifest, a line for each file, is put beside them last, through a temporary
+name too. The driver streams its lines and holds none. A reader goes by the
 manifest, so it never sees what a lost or repeated task left behind, and the
 renames can be repeated.
 
@@ -35,6 +37,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -187,8 +190,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     picked = facts.where(F.pmod(F.xxhash64("page_id", "sha1"), F.lit(1 << 30)) < int(share * (1 << 30)))
     cuts: list[bytes] = []
     if shards > 1:
-        sample = sorted((_key(r.page_id, bytes.fromhex(r.sha1)), r.n_bytes) for r in picked.select(
-            "page_id", "sha1", "n_bytes").collect())
+        sample = sorted((_key(r.page_id, bytes.fromhex(r.sha1)), r.n_bytes) for r in picked.groupBy(
+            "page_id", "sha1").agg(F.sum("n_bytes").alias("n_bytes")).collect())
         at = np.cumsum([b for _, b in sample])
         if len(at):
             ends = np.searchsorted(at, at[-1] * np.arange(1, shards) / shards)
@@ -214,24 +217,40 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return _commit(done, folder)
 
 
-def _commit(done: DataFrame, folder: str) -> str:
-    """Renames the files of the winning attempts, then puts the manifest down.
-
-    One row for each file comes to the driver: it grows with the number of
-    files, a few hundred bytes for each ``roll_bytes`` written."""
+def _mover(folder: str):
+    """Renames files into place; a task that runs again finds its work done."""
     from pyarrow import fs
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = _store(folder)
+        for batch in batches:
+            for f in batch.to_pylist():
+                there, new = f"{path}/{f['temporary']}", f"{path}/{f['name']}"
+                if store.get_file_info(there).type == fs.FileType.File:
+                    try:
+                        store.move(there, new)
+                    except OSError:
+                        # another attempt of this task may have been first
+                        if store.get_file_info(there).type == fs.FileType.File:
+                            raise
+                found = store.get_file_info(new)
+                if found.type != fs.FileType.File or found.size != f["bytes"]:
+                    raise FileNotFoundError(f"{f['name']}: neither the temporary file nor the final one is there")
+            yield batch.drop_columns(["temporary"])
+
+    return run
+
+
+def _commit(done: DataFrame, folder: str) -> str:
+    """Renames the files of the winning attempts, then puts the manifest down."""
     store, path = _store(folder)
-    files = sorted(done.collect(), key=lambda r: r["name"])
-    for f in files:
-        there, new = (store.get_file_info(f"{path}/{x}") for x in (f["temporary"], f["name"]))
-        if there.type == fs.FileType.File:
-            store.move(there.path, new.path)
-        elif new.type != fs.FileType.File or new.size != f["bytes"]:
-            raise FileNotFoundError(f"{f['name']}: neither the temporary file nor the final one is there")
-    text = json.dumps([{k: f[k] for k in ("name", "bytes", "records", "crc32")} for f in files], indent=0)
+    moved = written(done.mapInArrow(_mover(folder), "name string, bytes long, records long, crc32 long"), "moved")
     with store.open_output_stream(f"{path}/_tmp/{MANIFEST}") as out:
-        out.write(text.encode())
+        before = "[\n"
+        for f in moved.orderBy("name").toLocalIterator():
+            out.write((before + json.dumps(f.asDict())).encode())
+            before = ",\n"
+        out.write(b"\n]" if before == ",\n" else b"[]")
     store.move(f"{path}/_tmp/{MANIFEST}", f"{path}/{MANIFEST}")
     return f"{folder}/{MANIFEST}"
 
@@ -290,15 +309,36 @@ def _reader(folder: str, bodies: bool):
     return run
 
 
+def _listing(folder: str):
+    """The names in the manifest, read line by line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            store, path = _store(folder)
+            at, names = 0, []
+            with io.TextIOWrapper(store.open_input_stream(f"{path}/{MANIFEST}", compression=None), "utf-8") as lines:
+                for line in lines:
+                    if line.startswith("{"):
+                        names.append(json.loads(line.rstrip().rstrip(","))["name"])
+                    if len(names) == 10_000:
+                        yield _named(at, names)
+                        at, names = at + len(names), []
+            yield _named(at, names)
+
+    return run
+
+
+def _named(at: int, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(at, at + len(names)), pa.int32()), pa.array(names, pa.string())], names=["at", "name"])
+
+
 def read(spark: SparkSession, folder: str, bodies: bool = True) -> DataFrame:
     """The records of the files that the manifest names, a file a task."""
-    store, path = _store(folder)
-    with store.open_input_stream(f"{path}/{MANIFEST}") as stream:
-        files = json.loads(stream.read())
-    names = spark.createDataFrame([(k, f["name"]) for k, f in enumerate(files)], "at int, name string")
+    names = written(spark.range(0, 1, 1, 1).mapInArrow(_listing(folder), "at int, name string"), "names")
     types = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
              + ", payload string" * bodies)
-    return names.repartitionById(max(1, len(files)), F.col("at")).select("name").mapInArrow(_reader(folder, bodies), types)
+    return names.repartitionById(max(1, names.count()), F.col("at")).select("name").mapInArrow(
+        _reader(folder, bodies), types)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,33 @@ def test_empty(spark, pages):
     folder = common.new_path(spark, "archives")
     A.write(pages.limit(0), folder)
     assert A.read(spark, folder).count() == 0
+
+
+def test_commit_goes_on_where_it_stopped(spark, pages):
+    folder = common.new_path(spark, "archives")
+    A.write(pages, folder, shard_bytes=200_000, roll_bytes=2_000)
+    path, names = files(folder)
+    assert len(names) > 3 and [f["name"] for f in names] == sorted(f["name"] for f in names)
+    kind = "name string, temporary string, bytes long, records long, crc32 long"
+    rows = [(f["name"], f"_tmp/{f['name']}.x", f["bytes"], f["records"], f["crc32"]) for f in names]
+    # a driver that was lost between two renames, before the manifest
+    for name, temporary, *_ in rows[2:]:
+        os.rename(f"{path}/{name}", f"{path}/{temporary}")
+    os.rename(f"{path}/{A.MANIFEST}", f"{path}/_tmp/old")
+    A._commit(spark.createDataFrame(rows, kind).repartition(3), folder)
+    assert files(folder)[1] == names and A.read(spark, folder).count() == pages.count()
+    with pytest.raises(Exception, match="neither the temporary file nor the final one"):
+        A._commit(spark.createDataFrame([("gone", "_tmp/gone", 1, 1, 1)], kind), folder)
+
+
+def test_equal_rows_are_one_in_the_sample(spark):
+    rows = [(7, "u", "x" * 100)] * 3000 + [(i, "u", f"{i}" * 40) for i in range(100, 400)]
+    seen = []
+    for n in (1, 5):
+        folder = common.new_path(spark, "archives")
+        A.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n), folder,
+                shard_bytes=10_000, sample_rows=100_000)
+        path, names = files(folder)
+        seen.append([(f["name"], open(f"{path}/{f['name']}", "rb").read()) for f in names])
+        assert A.read(spark, folder, bodies=False).count() == len(rows)
+    assert seen[0] == seen[1] and len(seen[0]) > 3
