@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_RULES, Rules
@@ -10,7 +10,7 @@ from .cleaning import with_retention
 from .metrics import with_category
 
 
-#: Copies of a row that are put back by one row of a task.
+#: Copies of a row that share their last sort key.
 CHUNK = 100_000
 
 
@@ -18,20 +18,19 @@ def _sorted(df: DataFrame, *keys) -> DataFrame:
     """``df`` in the order of ``keys``, identical rows side by side.
 
     A range partitioner cannot split equal keys, and copies may hold a large
-    share of the rows. So copies are counted first (with a partial step before
-    the shuffle) and their number is cut into chunks of at most ``CHUNK``. The
-    number of the chunk is the last sort key, so the chunks of one row spread
-    over as many ranges as they need, and each puts its own copies back where
-    it landed. Nothing depends on the order in which a task sees its rows, so
-    a task that runs again gives the same ranges.
+    share of the rows. So the copies of a row that come from one partition are
+    numbered, and every ``CHUNK`` of them get a last sort key of their own, by
+    which they spread over as many ranges as they need. Rows are numbered by
+    sorting one long, so no task holds its rows in a table of groups beside
+    what ``df`` holds itself. Which copy has which number makes no difference,
+    so nothing depends on the order in which a task sees its rows, and a task
+    that runs again gives the same ranges.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    n, chunk, zero = F.col("__copies"), F.col("__chunk"), F.lit(0).cast("long")
-    copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
-    chunks = copies.select(*columns, n, F.explode(F.sequence(zero, F.expr(f"(__copies - 1) div {CHUNK}"))).alias("__chunk"))
-    own = F.least(F.lit(CHUNK).cast("long"), n - chunk * CHUNK)
-    back = F.explode(F.sequence(F.lit(1).cast("long"), own)).alias("__copy")
-    return chunks.orderBy(*keys, "__chunk").select(*columns, back).drop("__copy")
+    marked = df.withColumn("__mark", F.xxhash64(F.spark_partition_id(), *columns))
+    number = F.row_number().over(Window.partitionBy("__mark").orderBy("__mark"))
+    chunks = marked.withColumn("__chunk", F.floor((number - 1) / CHUNK))
+    return chunks.orderBy(*keys, "__mark", "__chunk").select(*columns)
 
 
 def detail(df: DataFrame) -> DataFrame:
