@@ -38,18 +38,28 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else list(path)))
 
 
-def header_lines(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
-    """The files of an import by their header line (the first line of a file).
+def first_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file`` and ``header``, the first line, of every file that has a line.
 
-    One aggregation over the lines; what comes to the driver is one line for
-    each distinct header and the names of the files, which the driver lists
-    for the scan anyway. Empty files have no header and hold no record.
+    The number of each file's first line is the least of its lines in the
+    block at the file's start, and a second look at the lines takes those by
+    their numbers: numbers are grouped, lines are neither sorted nor shuffled.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("n"))
-    first = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "n")).alias("header"))
-    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+        F.monotonically_increasing_id().alias("n")).where("at = 0")
+    first = lines.groupBy("file").agg(F.min("n").alias("n")).select("n")
+    return lines.join(F.broadcast(first), "n").select("file", F.col("value").alias("header"))
+
+
+def header_lines(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """The files of an import by their header line (the first line of a file).
+
+    What comes to the driver is one line for each distinct header and the names
+    of the files, which the driver lists for the scan anyway. Empty files have
+    no header and hold no record.
+    """
+    found = first_lines(spark, path).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
     return {r.header.lstrip("﻿"): list(r.files) for r in sorted(found, key=lambda r: r.files[0])}
 
 
