@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,21 @@ def _codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(memo.new.__getitem__, words), np.uint64, len(words))
 
 
+def _covered(n: int, first: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Which of ``n`` words are in a run of ``length`` words from ``first``."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + length, -1)
+    return step[:-1].cumsum() > 0
+
+
+def _codes_where(words: list[bytes], asked: np.ndarray) -> np.ndarray:
+    """The hashes of the words that are asked for; zero for the others."""
+    out = np.zeros(len(words), np.uint64)
+    out[asked] = _codes(list(compress(words, asked.tolist())))
+    return out
+
+
 class Shape:
     """The lengths that the method works with."""
 
@@ -209,10 +225,12 @@ def _open_windows(shape: Shape):
     """Windows of the blocks that are to be compared one by one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.compute.greater(pa.compute.fill_null(pa.compute.list_value_length(batch["open"]), 0), 0))
             for part in slices(batch, "text", 512):
                 keys, seconds, docs, starts = [], [], [], []
                 for doc, text, entries in zip(part["id"].to_pylist(), part["text"], part["open"]):
-                    codes = _codes((text.as_py() or "").encode().split())
+                    found = (text.as_py() or "").encode().split()
+                    codes = _codes_where(found, _words_of(shape, entries, len(found)))
                     second = shape.second_hashes(codes)
                     first, count = _entries(entries, second)
                     at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
@@ -235,6 +253,16 @@ def _some(entries) -> bool:
     return entries is not None and entries.is_valid and len(entries.values) > 0
 
 
+def _words_of(shape: Shape, entries, n: int) -> np.ndarray:
+    """Which of a text's ``n`` words the windows of its entries hold."""
+    if not _some(entries):
+        return np.zeros(n, bool)
+    info = entries.values.field("info").to_numpy()
+    first, length = info >> 24, ((info >> 8) & 0xFFFF) + shape.length - 1
+    fits = first + length <= n
+    return _covered(n, first[fits], length[fits])
+
+
 def _entries(entries, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First windows and counts of a row's entries; those of another text with
     the same id do not fit its hashes and are left out."""
@@ -258,7 +286,11 @@ def _result(shape: Shape):
                     found = (text.as_py() or "").encode().split()
                     step = np.zeros(len(found) + 1, np.int64)
                     if _some(flagged) or _some(single):
-                        own = shape.second_hashes(_codes(found))
+                        asked = _words_of(shape, flagged, len(found))
+                        if _some(single):
+                            at = single.values.field("start").to_numpy()
+                            asked |= _covered(len(found), at[at + shape.length <= len(found)], shape.length)
+                        own = shape.second_hashes(_codes_where(found, asked))
                         first, count = _entries(flagged, own)
                         np.add.at(step, first, 1)
                         np.add.at(step, first + count + shape.length - 1, -1)
@@ -306,18 +338,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "info", F.col("block").bitwiseAND(F.lit(0x7FFFFFFF)).alias("check")).alias("entry"))
     found = written(found.groupBy("id").agg(
         F.collect_list(F.when(F.col("flagged"), F.col("entry"))).alias("flagged"),
-        F.collect_list(F.when(~F.col("flagged"), F.col("entry"))).alias("open")), "repeated-blocks")
-    # both readers of the texts take them from the same shuffle
+        F.collect_list(F.when(~F.col("flagged"), F.col("entry"))).alias("open")), "repeated-blocks", free=True)
+    # Both readers of the texts take them from the same shuffle; a condition on
+    # the rows would reach the texts below the shuffle and make another of it.
     texts = texts.repartition("id")
     joined = texts.join(found, "id", "left")
     # texts without open blocks are not sent to Python
-    windows = joined.where(F.size("open") > 0).select("id", "text", "open").mapInArrow(
+    windows = joined.select("id", F.when(F.size("open") > 0, F.col("text")).alias("text"), "open").mapInArrow(
         _open_windows(shape), "key long, second long, id long, start long, repeated boolean").repartition("key")
     check = F.col("second").bitwiseAND(F.lit(0x7FFFFFFF)).alias("check")
     windows = windows.select("id", F.struct("start", check).alias("entry"), (
         F.col("repeated") | (F.min("id").over(Window.partitionBy("key", "second")) < F.col("id"))).alias("repeated"))
     single = windows.where("repeated").groupBy("id").agg(F.collect_list("entry").alias("starts"))
-    return joined.join(single, "id", "left").mapInArrow(
+    return joined.drop("open").join(single, "id", "left").mapInArrow(
         _result(shape), "id long, n_words long, n_removed long, kept_sha256 string, "
         "repeats array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
 

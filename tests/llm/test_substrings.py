@@ -70,3 +70,17 @@ def test_collisions_of_the_first_hash_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(U.Shape, "window_hashes", lambda self, codes: whole(self, codes) & U.np.uint64(7))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(df, crowd=1) == brute(rows)
+
+
+def test_texts_are_shuffled_once(spark):
+    """op10: both readers of the texts have the same exchange, whatever rows they take."""
+    import re
+    texts = [(k, f"{k} " + " ".join(f"w{j}" for j in range(k, k + 30))) for k in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    out = U.deduplicate(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    under = [re.sub(r"#\d+L?", "", "".join(plan.splitlines()[k + 1:k + 3])) for k, line in enumerate(plan.splitlines())
+             if "REPARTITION_BY_COL" in line and "hashpartitioning(id" in line]
+    assert len(under) == 2 and not any("isnotnull" in x for x in under)
+    from gatewatch.llm.common import SHUFFLE_CLEANUP
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) != "true"
