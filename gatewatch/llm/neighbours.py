@@ -6,8 +6,9 @@ string of 64 bits, the signs of 64 random projections of its tree. The
 projections come from a fixed seed and nothing is fitted to the data, so every
 vector is indexed the same way.
 
-Search. A query descends every tree of a shard to its longest prefix match by
-bisection, and then ascends all trees together: the prefix length goes down
+Search. A query descends the trees of a shard by bisection, to the longest
+prefix that enough vectors share with it (one in several trees counts as many
+times), and then ascends all trees together: the prefix length goes down
 one by one, and at each length the vectors that share that prefix with the
 query in any tree become candidates, until there are ``share`` of the shard
 (and ``least`` at least). The last length is taken whole, so which candidates
@@ -94,6 +95,7 @@ class Forest:
     def _candidates(self, hashes: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
         trees, n = self.sorted.shape
         lows, highs = {}, {}
+        flat, begin = self.order.ravel(), np.arange(trees) * n
 
         def bounds(length: int) -> tuple[np.ndarray, np.ndarray]:
             """Where the vectors with the queries' prefix of a length stand."""
@@ -106,19 +108,22 @@ class Forest:
 
         for q in range(hashes.shape[1]):
             met = np.zeros(n, bool)
-            # descend: no tree has a match longer than the first length that meets any
+            # descend to the longest prefix for which the trees together have
+            # enough matches; below it no union of theirs can be large enough
             length, step = 0, BITS
             while step:
-                low, high = bounds(min(BITS, length + step))
-                if length + step <= BITS and (high[:, q] > low[:, q]).any():
-                    length += step
+                if length + step <= BITS:
+                    low, high = bounds(length + step)
+                    if (high[:, q] - low[:, q]).sum() >= wanted:
+                        length += step
                 step >>= 1
             while True:
                 low, high = bounds(length)
-                if (high[:, q] - low[:, q]).sum() >= wanted:
+                count = high[:, q] - low[:, q]
+                if (total := count.sum()) >= wanted:
+                    # the ranges of all trees in one go
                     met[:] = False
-                    for t in range(trees):
-                        met[self.order[t, low[t, q]:high[t, q]]] = True
+                    met[flat[np.repeat(begin + low[:, q] - count.cumsum() + count, count) + np.arange(total)]] = True
                     if length == 0 or met.sum() >= wanted:
                         break
                 elif length == 0:
@@ -128,6 +133,15 @@ class Forest:
             yield np.flatnonzero(met)
 
 
+def _leading(vectors: np.ndarray, norms: np.ndarray, rows: np.ndarray, x: np.ndarray, wanted: int) -> np.ndarray:
+    """Those of ``rows`` that can be among the ``wanted`` nearest: cosines by one
+    matrix product, which may differ in the last places, with room for that."""
+    rough = vectors[rows] @ x / norms[rows]
+    if len(rows) <= wanted or not np.isfinite(rough).all():
+        return rows
+    return rows[rough >= np.partition(rough, -wanted)[-wanted] - 1e-9 * np.sqrt((x * x).sum())]
+
+
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
            trees: int = 256, share: float = 0.3, least: int = 40, shard_rows: int = 8192,
            query_rows: int = 2048) -> DataFrame:
@@ -163,6 +177,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
             wanted = min(own.num_rows, max(least, math.ceil(share * own.num_rows)))
             for q, rows in enumerate(forest.candidates(hash_strings(queries, trees), wanted)):
                 x = queries[q]
+                rows = _leading(forest.vectors, forest.norms, rows, x, k + 1)
                 score = (forest.vectors[rows] * x).sum(axis=1) / (forest.norms[rows] * np.sqrt((x * x).sum()))
                 # rows that may hold one of the k nearest, the query's own row set aside
                 cut = np.partition(score, -(k + 1))[-(k + 1)] if len(score) > k + 1 else -np.inf

@@ -82,3 +82,16 @@ def test_small_tables_are_pruned_too(spark, kind):
     met = list(forest.candidates(hashes, 600))
     assert all((a == next(forest.candidates(hashes[:, q:q + 1], 600))).all() for q, a in enumerate(met))
     assert sum(map(len, met)) < 0.5 * len(x) * len(met)
+
+
+def test_few_rows_are_scored_exactly():
+    """op2: the nearest and what ties with them stay, out of few rows."""
+    import numpy as np
+    from gatewatch.llm.neighbours import _leading
+    v = np.random.default_rng(3).standard_normal((2000, 64))
+    v[5], v[9] = v[7] * 3, v[7] / 3
+    norms, x, rows = np.sqrt((v * v).sum(axis=1)), v[7] + 0.1, np.arange(2000)
+    kept = _leading(v, norms, rows, x, 2)
+    assert {5, 7, 9} <= set(kept.tolist()) and len(kept) < 10
+    v[0] = 1e200  # its product is not finite: nothing is left out
+    assert len(_leading(v, np.where(rows == 0, np.inf, norms), rows, x * 1e200, 2)) == 2000
