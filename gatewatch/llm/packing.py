@@ -33,12 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, worker_memo, written
-from .tokens import is_byte_level, tokenizer
+from .tokens import LATIN_END, byte_letters, is_byte_level, tokenizer
 
 #: Segments in one of the two generations of the memo; some 250 MB both
 MEMO = 600_000
-#: Letters below are in Latin blocks, which every version of Unicode has alike.
-LATIN_END = "\u0250"
 
 
 # --- ids ------------------------------------------------------------------
@@ -59,13 +57,6 @@ def _segments(text: str) -> list[str]:
     return out
 
 
-def _byte_letters() -> dict[int, str]:
-    """The character by which byte-level models write each byte."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 class Ids:
     """Ids of segments, as the library gives them, in the worker's memo.
 
@@ -80,7 +71,7 @@ class Ids:
         self.by_words = is_byte_level(path)
         self.memo = worker_memo(f"ids-{path}", "segments", MEMO)
         self.heads = worker_memo(f"ids-{path}", "heads", MEMO // 10)
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.model = self.tok.model
         self.marks = {m: self._encoded([m])[0] for m in ".,"} if self.by_words else {}
 

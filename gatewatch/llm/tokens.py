@@ -12,9 +12,9 @@ follows a blank does not depend on what is before it. Where an overlap has no
 such boundary (a long run without blanks), it is doubled to the left; if it
 would reach the chunk before, both are encoded as one, up to the next blank.
 
-The same fact lets whole chunks be counted word by word: what the library
-gives for a word between blanks is kept in a bounded memo of the worker, and
-only words that it does not hold are encoded.
+The same fact lets a text of one chunk be counted word by word: what the
+library gives for a word between blanks is kept in a bounded memo of the
+worker, and only words that it does not hold are encoded (``Counts``).
 
 A worker looks at the tokenizer's file once (``is_blank_free``). If it is not
 of the kind for which all this is proven, every text is encoded whole; so it is
@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices, worker_memo, worker_once
 
+if TYPE_CHECKING:
+    from tokenizers import Encoding
+
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Words in one of the two generations of the memo; about 130 MB both.
+#: Words in one of the two generations of the memo; about 130 MB both, and some 20 MB for pieces of words.
 MEMO = 400_000
 
 
@@ -102,18 +107,13 @@ def is_byte_level(path: str) -> bool:
             and not said["model"].get("continuing_subword_prefix") and not said["model"].get("end_of_word_suffix"))
 
 
-Encode = Callable[[str], list[tuple[int, int]]]
+#: Text to the library's encoding, with offsets.
+Encode = Callable[[str], "Encoding"]
 
 
 def _encoder(path: str) -> Encode:
-    """Text to (id, offset) of its tokens."""
     tok = tokenizer(path)
-
-    def encode(text: str) -> list[tuple[int, int]]:
-        got = tok.encode(text, add_special_tokens=False)
-        return [(i, o[0]) for i, o in zip(got.ids, got.offsets)]
-
-    return encode
+    return lambda text: tok.encode(text, add_special_tokens=False)
 
 
 def splice(text: str, encode: Encode, chunk_chars: int, overlap: int) -> int:
@@ -124,7 +124,8 @@ def splice(text: str, encode: Encode, chunk_chars: int, overlap: int) -> int:
     has been encoded in vain and goes on to the next blank, so all encodings
     together are a small multiple of the text, whatever it is made of."""
     counted, begin, end = 0, 0, min(chunk_chars, len(text))
-    left = encode(text[begin:end])  # tokens from ``begin`` on; all of them count
+    # tokens of ``left``, an encoding of ``text[base:end]``, count from number ``first`` on, which starts at ``begin``
+    left, base, first = encode(text[begin:end]), begin, 0
     while end < len(text):
         wide, cut = overlap, None
         after = min(end + chunk_chars - overlap, len(text))
@@ -133,48 +134,132 @@ def splice(text: str, encode: Encode, chunk_chars: int, overlap: int) -> int:
             wide *= 2
             if not any(c in BLANKS for c in text[at:end]):
                 continue
-            right = [(i, at + o) for i, o in encode(text[at:after])]
-            cut = _common(text, [(i, begin + o) for i, o in left], right, at, end)
+            right = encode(text[at:after])
+            cut = _common(text, _tail(left, base, at), _head(right, at, end), at, end)
         if cut is None:  # nothing stable in the whole chunk: encode it with the next one
             blank = min((k for c in BLANKS if (k := text.find(c, end)) >= 0), default=len(text))
             end = min(len(text), max(after, end + end - begin, blank + overlap))
-            left = encode(text[begin:end])
+            left, base, first = encode(text[begin:end]), begin, 0
         else:
-            counted += sum(1 for _, o in left if begin + o < cut)
-            left, begin, end = [(i, o - cut) for i, o in right if o >= cut], cut, after
-    return counted + len(left)
-
-
-def _common(text: str, left: list, right: list, low: int, high: int) -> int | None:
-    """A stable boundary in ``text[low:high]`` that both encodings have."""
-    a = [x for x in left if x[1] > low]
-    b = [x for x in right if x[1] < high]
+            counted += len(left) - cut[1] - first
+            left, base, first, begin, end = right, at, cut[2], cut[0], after
+    return counted + len(left) - first
+
+
+def _tail(found: Encoding, base: int, low: int) -> list[tuple[int, int]]:
+    """(id, place) of the last tokens, those that start after ``low``. Only
+    they are taken out of the library's encoding, not the whole chunk's."""
+    ids, out = found.ids, []
+    for k in range(len(ids) - 1, -1, -1):
+        start = base + found.token_to_chars(k)[0]
+        if start <= low:
+            break
+        out.append((ids[k], start))
+    return out[::-1]
+
+
+def _head(found: Encoding, base: int, high: int) -> list[tuple[int, int]]:
+    """(id, place) of the first tokens, those that start before ``high``."""
+    out = []
+    for k, i in enumerate(found.ids):
+        start = base + found.token_to_chars(k)[0]
+        if start >= high:
+            break
+        out.append((i, start))
+    return out
+
+
+def _common(text: str, left: list, right: list, low: int, high: int) -> tuple[int, int, int] | None:
+    """A stable boundary in ``text[low:high]`` that both encodings have: its
+    place, the tokens of the left one from there on and those of the right one
+    before it."""
     # what stands between the last blank and the end of the left chunk may change
     last = max(text.rfind(c, low, high) for c in BLANKS)
-    a, b = [x for x in a if x[1] < last], [x for x in b if x[1] < last]
-    starts = {o for _, o in b}
+    a, b = [x for x in left if x[1] < last], [x for x in right if x[1] < last]
+    starts = {o: k for k, (_, o) in reversed([*enumerate(b)])}
     for k, (_, o) in enumerate(a):
-        if o in starts and text[o - 1] in BLANKS:
-            rest = [x for x in b if x[1] >= o]
-            if a[k:] == rest:
-                return o
+        if o in starts and text[o - 1] in BLANKS and a[k:] == b[starts[o]:]:
+            return o, len(left) - k, starts[o]
     return None
 
 
+# --- words ----------------------------------------------------------------
+
+#: Characters below are in Latin blocks, which every version of Unicode has alike.
+LATIN_END = "\u0250"
+#: Those that are one character in lower case, of the same blocks, and no space. No normal form changes them.
+LATIN = {c for c in map(chr, range(ord(LATIN_END))) if not c.isspace() and len(c.lower()) == 1 and c.lower() < LATIN_END}
+_letters, _numbers = ("".join(c for c in sorted(LATIN) if kind(c)) for kind in (str.isalpha, str.isnumeric))
+#: ``SPLIT`` for lower-case words of such characters.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_numbers}]|[^{_letters}{_numbers}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level models write each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class Counts:
+    """Token counts of words between blanks, as the library gives them, in the
+    worker's memo.
+
+    A word of Latin characters only is cut by the tokenizer's own pattern, and
+    the library's model is asked for each piece that is new; so "Word", "word"
+    and "word," cost one question. Any other word, and one that holds a special
+    string, goes through the whole library.
+    """
+
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+        self.model = self.tok.model
+        self.words = worker_memo(f"counts-{path}", "words", MEMO)
+        self.pieces = worker_memo(f"counts-{path}", "pieces", MEMO // 2)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in parts(path)["added_tokens"]) or "(?!)")
+        self.letters = byte_letters()
+
+    def _piece(self, piece: str) -> int:
+        n = self.pieces.new.get(piece)
+        if n is None:
+            n = self.pieces.old.get(piece)
+            if n is None:
+                plain = piece.isascii() and piece.isalpha()
+                n = len(self.model.tokenize(piece if plain else "".join(map(self.letters.__getitem__, piece.encode()))))
+            self.pieces.new[piece] = n
+        return n
+
+    def learn(self, words: set[bytes]) -> None:
+        memo, rest = self.words.new, []
+        for word in words:
+            text = word.decode()
+            if LATIN.issuperset(text) and not self.special.search(text):
+                text = text.lower()
+                if text.isalpha():
+                    memo[word] = self._piece(text)
+                elif text[:-1].isalpha():
+                    memo[word] = self._piece(text[:-1]) + self._piece(text[-1])
+                else:
+                    memo[word] = sum(map(self._piece, PIECE.findall(text)))
+            else:
+                rest.append(word)
+        for low in range(0, len(rest), 8192):
+            part = rest[low:low + 8192]
+            memo.update(zip(part, map(len, self.tok.encode_batch_fast(
+                [w.decode() for w in part], add_special_tokens=False))))
+
+    def of(self, texts: list[str]) -> list[int]:
+        split = [t.encode().split() for t in texts]
+        self.learn(self.words.missing(set().union(*split)))
+        return [sum(map(self.words.new.__getitem__, s)) for s in split]
+
+
 def word_counts(texts: list[str], path: str) -> list[int]:
     """Token counts of texts, word by word through the worker's memo; whole by
     whole if the tokenizer does not allow that."""
     if not is_blank_free(path):
         return [len(e) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-    memo = worker_memo(f"counts-{path}", "words", MEMO)
-    split = [t.encode().split() for t in texts]
-    new = list(memo.missing(set().union(*split)))
-    for low in range(0, len(new), 8192):
-        part = new[low:low + 8192]
-        for w, e in zip(part, tokenizer(path).encode_batch_fast(
-                [w.decode() for w in part], add_special_tokens=False)):
-            memo.new[w] = len(e)
-    return [sum(map(memo.new.__getitem__, s)) for s in split]
+    return Counts(path).of(texts)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -43,6 +43,67 @@ def test_long_runs_without_blanks():
         assert sum(asked) < 3 * len(text) + 3 * 16384
 
 
+class Spy:
+    """The library's tokenizer; ``asked`` are the words that went through all of it."""
+
+    def __init__(self):
+        self.asked = []
+
+    def __getattr__(self, name):
+        return getattr(WORD, name)
+
+    def encode_batch_fast(self, words, **kw):
+        self.asked += words
+        return WORD.encode_batch_fast(words, **kw)
+
+
+def test_latin_words_do_not_go_through_the_whole_library(monkeypatch):
+    spy = Spy()
+    monkeypatch.setattr(T, "tokenizer", lambda path: spy)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßñøÿªº") for _ in range(rng.randint(3, 14))) for _ in range(300)]
+    forms = [str, str.upper, str.title, "{},".format, "{}...".format, "('{}')".format, "{}'s".format, "{}'re!'ve".format,
+             "'ll{}".format, "{0}-{0}".format, "12{}³½".format, "<|{}|>".format, "<|endoftext{}|>".format]
+    texts = [" ".join(form(w) for form in forms) for w in words]
+    assert T.word_counts(texts, "word_bpe_49k.json") == [len(WORD.encode(t, add_special_tokens=False)) for t in texts]
+    assert spy.asked == []
+    rest = ["qvw字", "<|endoftext|>qvw", "qvwe\u0301", "qvw\xa0x", "qvw\u0130", "\u023aqvw", "qvw\x1dx"]
+    assert T.word_counts(rest, "word_bpe_49k.json") == [len(WORD.encode(t, add_special_tokens=False)) for t in rest]
+    assert sorted(spy.asked) == sorted(rest)
+
+
+def test_every_latin_character_is_counted_as_the_library_does():
+    for c in map(chr, range(0x260)):
+        texts = [c, c * 3, f"x{c}", f"{c}x", f"ab{c}cd", f"a'{c}s1{c}2", f"A{c}'S.{c}", f"'{c}'t'{c}ve", f"é{c}\u0301"]
+        got = T.word_counts(texts, "word_bpe_49k.json")
+        assert got == [len(WORD.encode(t, add_special_tokens=False)) for t in texts], repr(c)
+
+
+def test_only_tokens_of_overlaps_are_looked_at():
+    class Encoding:
+        seen = 0
+
+        def __init__(self, found):
+            self.found, self.ids = found, found.ids
+
+        def __len__(self):
+            return len(self.found)
+
+        @property
+        def offsets(self):
+            Encoding.seen += len(self.found)
+            return self.found.offsets
+
+        def token_to_chars(self, k):
+            Encoding.seen += 1
+            return self.found.token_to_chars(k)
+
+    text = "some plain words, and more " * 8000
+    n = len(WORD.encode(text, add_special_tokens=False))
+    assert T.splice(text, lambda t: Encoding(WORD.encode(t, add_special_tokens=False)), 16384, 256) == n
+    assert 0 < Encoding.seen < n // 20
+
+
 def test_other_tokenizer_files_take_whole_texts():
     assert T.is_blank_free("word_bpe_49k.json") and T.is_byte_level("byte_bpe_50k.json")
     assert not T.is_blank_free("byte_bpe_50k.json") and not T.is_byte_level("word_bpe_49k.json")
