@@ -23,17 +23,19 @@ columns are not looked at.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, worker_memo, written
-from .tokens import LATIN_END, byte_letters, is_byte_level, tokenizer
+from .common import Memo, documents, slices, worker_memo, written
+from .tokens import BLANKS, LATIN_END, byte_letters, is_byte_level, parts, tokenizer
 
 #: Segments in one of the two generations of the memo; some 250 MB both
 MEMO = 600_000
@@ -41,6 +43,16 @@ MEMO = 600_000
 
 # --- ids ------------------------------------------------------------------
 
+#: Characters by which the library's pattern is known to cut as ``PIECE`` does:
+#: those of Latin blocks, of white space only what ASCII has.
+PLAIN = {c for c in map(chr, range(ord(LATIN_END))) if not c.isspace()} | set(BLANKS)
+#: What byte-level models write for each of them.
+LETTERS = {c: "".join(map(byte_letters().__getitem__, c.encode())) for c in PLAIN}
+_letters, _numbers = ("".join(re.escape(c) for c in sorted(PLAIN) if kind(c)) for kind in (str.isalpha, str.isnumeric))
+#: The usual pattern of byte-level models.
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_letters}]+| ?[{_numbers}]+| ?[^\s{_letters}{_numbers}]+|\s+(?!\S)|\s+")
+
+
 def _segments(text: str) -> list[str]:
     """A text cut before blanks that follow a character other than white space.
 
@@ -60,68 +72,96 @@ def _segments(text: str) -> list[str]:
 class Ids:
     """Ids of segments, as the library gives them, in the worker's memo.
 
-    A segment of Latin letters is one word of the pattern, so the library's
-    model is asked for that word alone; one with a point or comma behind is
-    that word and the mark. Any other segment goes through the whole library. A
-    file that is not of a byte-level model is used on whole texts.
+    A segment of Latin characters is cut by the library's own pattern, and its
+    model is asked for each piece that is new; so "word", "word," and
+    "word.\nWord" cost two questions. Any other segment, and one that holds a
+    special string, goes through the whole library. A file that is not of a
+    byte-level model is used on whole texts.
+
+    Texts are split, and their distinct segments found, by Arrow; Python sees a
+    segment once for each batch of texts, however often it is there.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
         self.by_words = is_byte_level(path)
-        self.memo = worker_memo(f"ids-{path}", "segments", MEMO)
-        self.heads = worker_memo(f"ids-{path}", "heads", MEMO // 10)
-        self.letters = byte_letters()
+        self.memo = worker_memo(f"ids-{path}", "segments", MEMO)  # with a blank in front
+        self.heads = worker_memo(f"ids-{path}", "heads", MEMO // 4)  # without
         self.model = self.tok.model
-        self.marks = {m: self._encoded([m])[0] for m in ".,"} if self.by_words else {}
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in parts(path)["added_tokens"]) or "(?!)")
 
     def _encoded(self, segments: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a blank and Latin letters."""
-        text = " " + word
-        return array("I", [t.id for t in self.model.tokenize(
-            "".join(map(self.letters.__getitem__, text.encode())))]).tobytes()
-
-    def learn(self, segments: set[str]) -> None:
-        memo, old, rest = self.memo.new, self.memo.old, []
-        for s in self.memo.missing(segments):
+        return [array("I", e.ids).tobytes() for low in range(0, len(segments), 4096)
+                for e in self.tok.encode_batch_fast(segments[low:low + 4096], add_special_tokens=False)]
+
+    def _model(self, piece: str) -> bytes:
+        """Ids of a piece that the pattern does not cut."""
+        return array("I", [t.id for t in self.model.tokenize("".join(map(LETTERS.__getitem__, piece)))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        memo, key = (self.memo, piece[1:]) if piece[0] == " " and len(piece) > 1 else (self.heads, piece)
+        ids = memo.new.get(key)
+        if ids is None:
+            ids = memo.new[key] = memo.old.get(key) or self._model(piece)
+        return ids
+
+    def learn(self, memo: Memo, front: str, segments: Collection[str]) -> list[bytes]:
+        """The ids of segments with ``front`` before them. The memo keeps words,
+        and what has been through the whole library, but no words with marks:
+        there are too many of them, and their pieces are known."""
+        missing, new, piece, cut, rest = memo.missing(set(segments)), memo.new, self._piece, {}, []
+        for s in missing:
             if s.isalpha() and max(s) < LATIN_END:
-                memo[s] = self._word(s)
-            elif s[:-1].isalpha() and s[-1] in self.marks and max(s) < LATIN_END:
-                memo[s] = (memo.get(s[:-1]) or old.get(s[:-1]) or self._word(s[:-1])) + self.marks[s[-1]]
-            elif not s or s[-1].isspace():
-                memo[s] = None  # the next segment may belong to it
+                new[s] = self._model(front + s)
+            elif s[:-1].isalpha() and s[-1] in ".," and max(s) < LATIN_END:
+                cut[s] = piece(front + s[:-1]) + piece(s[-1])
+            elif PLAIN.issuperset(s) and not self.special.search(s):
+                cut[s] = b"".join(map(piece, PIECE.findall(front + s)))
             else:
                 rest.append(s)
-        for low in range(0, len(rest), 4096):
-            part = rest[low:low + 4096]
-            memo.update(zip(part, self._encoded([" " + s for s in part])))
-
-    def of(self, texts: list[str]) -> list[bytes]:
+        new.update(zip(rest, self._encoded([front + s for s in rest])))
+        return [cut[s] if s in cut else new[s] for s in segments]
+
+    def _of_segments(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts in which white space does not stand by itself."""
+        split = [_segments(t) for t in texts]
+        heads, inner = {s[0] for s in split}, set().union(*(s[1:] for s in split))
+        head = dict(zip(heads, self.learn(self.heads, "", heads)))
+        ids = dict(zip(inner, self.learn(self.memo, " ", inner)))
+        return [head[s[0]] + b"".join(map(ids.__getitem__, s[1:])) for s in split]
+
+    def of(self, texts: pa.Array) -> list[bytes]:
         if not self.by_words:
-            return self._encoded(texts)
-        split = [t.split(" ") for t in texts]
-        new = list(self.heads.missing({s[0] for s in split}))
-        self.heads.new.update(zip(new, self._encoded(new)))
-        self.learn(set().union(*(s[1:] for s in split)))
-        out = []
-        for text, parts in zip(texts, split):
-            try:
-                if not parts[0] or parts[0][-1].isspace():
-                    raise TypeError
-                out.append(self.heads.new[parts[0]] + b"".join(map(self.memo.new.__getitem__, parts[1:])))
-            except TypeError:  # white space that does not stand by itself
-                first, *rest = _segments(text)
-                out.append(b"".join(self._encoded([first, *(" " + s for s in rest)])))
+            return self._encoded(texts.to_pylist())
+        split = pa.compute.split_pattern(texts, " ")
+        edges = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        number, segments = np.array(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False)
+        # a segment that is empty or ends in white space may go on behind the blank
+        on = np.fromiter((not s or s[-1].isspace() for s in segments), bool, len(segments))
+        apart = np.unique(np.searchsorted(edges, np.flatnonzero(on[number]), "right") - 1)
+        # those at the front of a text have no blank before them and get numbers of their own
+        heads, at = np.unique(number[edges[:-1]], return_inverse=True)
+        number[edges[:-1]] = len(segments) + at
+        used = np.flatnonzero(np.bincount(number, minlength=len(segments))[:len(segments)].astype(bool) & ~on)
+        ids = [b""] * len(segments) + self.learn(self.heads, "", segments[heads].tolist())
+        for k, got in zip(used.tolist(), self.learn(self.memo, " ", segments[used].tolist())):
+            ids[k] = got
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        taken = lists.take(pa.array(number))
+        raw, ends = taken.flatten().to_numpy().tobytes(), (4 * taken.offsets.to_numpy().astype(np.int64))[edges].tolist()
+        out = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        whole = texts.take(pa.array(apart, pa.int64())).to_pylist()
+        for k, got in zip(apart.tolist(), self._of_segments(whole)):
+            out[k] = got
         return out
 
 
 def ids_of(texts: list[str], path: str) -> list[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit numbers, as the
     library gives them."""
-    return Ids(path).of(texts)
+    return Ids(path).of(pa.array(texts, pa.string()))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -132,10 +172,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 256):
+            for part in slices(batch, "text", 2048):
                 tokens = Ids(path)
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(tokens.of(part["text"].to_pylist())):
+                for k, ids in enumerate(tokens.of(part["text"])):
                     ids += end
                     n = len(ids) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]

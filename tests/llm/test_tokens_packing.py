@@ -46,15 +46,15 @@ def test_long_runs_without_blanks():
 class Spy:
     """The library's tokenizer; ``asked`` are the words that went through all of it."""
 
-    def __init__(self):
-        self.asked = []
+    def __init__(self, tok=WORD):
+        self.asked, self.tok = [], tok
 
     def __getattr__(self, name):
-        return getattr(WORD, name)
+        return getattr(self.tok, name)
 
     def encode_batch_fast(self, words, **kw):
         self.asked += words
-        return WORD.encode_batch_fast(words, **kw)
+        return self.tok.encode_batch_fast(words, **kw)
 
 
 def test_latin_words_do_not_go_through_the_whole_library(monkeypatch):
@@ -142,6 +142,40 @@ def test_ids_equal_the_library():
         assert got == np.array(BYTE.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def byte_ids(texts):
+    return [np.array(BYTE.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_ids_of_latin_texts_do_not_go_through_the_whole_library(monkeypatch):
+    spy = Spy(BYTE)
+    monkeypatch.setattr(P, "tokenizer", lambda path: spy)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßñøÿªº") for _ in range(rng.randint(3, 14))) for _ in range(300)]
+    forms = ["{}", "{}.", "{0}.\n{0}", "{0},\n\n{0}", "{0}\r\n\t{0}", "{}...", "('{}')", "{}'s", "{}'re!'ve", "'ll{}",
+             "{0}-{0}", "12{}³½", "<|{}|>", "<|endoftext{}|>", "$$${}%", "  {}", "\n {}\t "]
+    texts = [rng.choice(["", " ", "\n"]) + " ".join(form.format(w) for form in forms[:rng.randint(1, 17)]) for w in words]
+    assert P.ids_of(texts, "byte_bpe_50k.json") == byte_ids(texts)
+    assert spy.asked == []
+    rest = ["qvw字", "<|endoftext|>qvw", "qvwe\u0301", "qvw\xa0x", "qvw\x1dx", "qvw\u2003x"]
+    assert P.ids_of(["a " + t for t in rest], "byte_bpe_50k.json") == byte_ids(["a " + t for t in rest])
+    assert sorted(spy.asked) == sorted(" " + t for t in rest)
+
+
+def test_every_latin_character_gets_the_ids_of_the_library():
+    for c in map(chr, range(0x260)):
+        texts = [c, c * 3, f" {c}", f"{c} ", f"x{c} {c}x", f"ab{c}cd {c}{c}", f"a {c} b", f"a{c}\n{c}b", f"a'{c}s1 {c}2", f"A{c}'s.{c}",
+                 f"'{c}'t '{c}ve", f"é{c}\u0301", f"a.{c} b", f"a{c}. b{c},", f"a {c} {c}"]
+        assert P.ids_of(texts, "byte_bpe_50k.json") == byte_ids(texts), repr(c)
+
+
+def test_ids_when_the_memo_is_full(monkeypatch):
+    monkeypatch.setattr(P, "MEMO", 20)
+    for seed in range(6):
+        texts = mixed(50, seed) + ["", f"a {seed}", f"b.\nc{seed} a, b.", "a  b", " "]
+        assert P.ids_of(texts, "byte_bpe_50k.json") == byte_ids(texts)
+    assert P.ids_of([], "byte_bpe_50k.json") == []
+
+
 @pytest.mark.parametrize("chunk", [16384, 2000])
 def test_counts_of_a_table(docs, no_docs, texts, chunk):
     got = T.token_counts(docs, "word_bpe_49k.json", chunk_chars=chunk, overlap=50)
